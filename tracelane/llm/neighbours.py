@@ -90,3 +90,62 @@ class Model:
             vote = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6) ** 4 * self.weight[near]
             out[at : at + 512] = (vote * self.good[near]).sum(axis=1) / vote.sum(axis=1)
         return out
+
+
+def fold(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 4; 2 is held out. A null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, id_col: str = "doc_id", text: str = "text") -> Model | None:
+    """A model of at most per_label labelled rows of each label that aren't held out: those of the least hashed ids.
+    None where no label can be learned. The rows reach the driver as terms, a bounded number of bounded length."""
+    known = labels.select(F.col(id_col).alias("of"), F.col(label).cast("int").alias("y")).where(F.col("of").isNotNull() & F.col("y").isin(0, 1))
+    known = known.where(F.crc32(F.col("of").cast("string").cast("binary")) % 4 != 2)
+    count = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(count) < 2:
+        return None
+    order = [F.xxhash64("of", F.lit(29)), "of"]
+    sample = known.where("y = 1").orderBy(*order).limit(per_label).unionByName(known.where("y = 0").orderBy(*order).limit(per_label))
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = terms(part.column("text").to_pylist()).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column("of"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["of", "y", "x"])
+
+    met = texts(docs, id_col, text=text).join(F.broadcast(sample), F.col(id_col) == F.col("of")).select("of", "y", "text")
+    kind = met.schema["of"].dataType.simpleString()
+    rows = met.mapInArrow(read, f"of {kind}, y int, x binary").dropDuplicates(["of"]).collect()  # at most 2 * per_label
+    rows.sort(key=lambda r: r.of)
+    if len({r.y for r in rows}) < 2:
+        return None
+    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
+    return Model(x, np.array([r.y for r in rows]), count[1] / (count[0] + count[1]))
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", accept: float = ACCEPT, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """Per row of docs: its id, the columns in carry, held_out, score (0 to 1), predicted (1 if score >= accept).
+
+    Null texts are empty and are scored as such. Rows of one id are scored each; where the labelled sample meets several, one of them
+    counts. Without labels of both kinds to learn from, every score is 1: nothing is known against a text. An empty table gives an
+    empty one; columns not named are not read. The model alone is broadcast, of a size that per_label bounds; no shuffle.
+    """
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(fit(docs, labels, label, id_col=id_col, text=text, **options))
+
+    def score(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                m = model.value
+                s = m.score(terms(part.column("text").to_pylist())) if m else np.ones(part.num_rows)
+                kept = [part.column(k) for k in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= accept).astype(np.int32))], [*part.schema.names[:-1], "score", "predicted"])
+
+    extra = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *extra, fold(id_col) == 2, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).toDF("id", *[f"carry_{i}" for i in range(len(carry))], "held_out", "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    out = rows.mapInArrow(score, f"{schema}, score double, predicted int")
+    return out.select(F.col("id").alias(id_col), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "held_out", "score", "predicted")

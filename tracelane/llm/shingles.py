@@ -48,10 +48,10 @@ def shingle_sets(texts: pa.Array, k: int = 5, chars: int = 8_000_000):
             if b - a >= k:
                 yield np.unique(runs[a : b - k + 1])
             elif b > a:
-                h = U64(0)
-                for w in words[a:b]:
-                    h = mix64(np.array([h + w], U64))[0]
-                yield np.array([h], U64)
+                h = np.zeros(1, U64)
+                for j in range(a, b):
+                    h = mix64(h + words[j : j + 1])
+                yield h
             else:
                 yield np.zeros(0, U64)
         at = to
