@@ -81,7 +81,11 @@ def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counts and digests of scan()'s spans."""
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
+
+    def of(rank: int) -> Column:
+        return F.filter("spans", lambda s: s["rank"] == rank)
+
+    count = [F.size(of(k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
     return found.select(id_col, *count, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
