@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.llm.common import stage
@@ -66,25 +66,49 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.withColumnRenamed("open", "low")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeats: float = MAX_REPEATS, cut: bool = True, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def _size(text: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _hash(id_col: str) -> Column:
+    return F.shiftright(F.xxhash64(F.col(id_col), F.lit(11)), 4).bitwiseAND(F.lit((1 << (LEVEL_BITS * LEVELS)) - 1))
+
+
+def budgets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeats: float = MAX_REPEATS) -> DataFrame:
+    """thresholds() of sizes (source, size, hash), and tied: the words of the rows at hash `low`. Names begin with b_."""
+    found = thresholds(sizes, stage(source_targets(sizes, weights, share, max_repeats), "mixing-targets"))
+    low = found.toDF(*[f"b_{c}" for c in found.columns])
+    at = sizes.join(low, sizes.source.eqNullSafe(F.col("b_source"))).where("hash = b_low").groupBy("source").agg(F.sum("size").alias("b_tied"))
+    return low.join(at, F.col("b_source").eqNullSafe(at.source), "left").drop("source").withColumn("b_tied", F.coalesce("b_tied", F.lit(0)))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeats: float = MAX_REPEATS, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row of docs: id, source, size, source_size, target, hash, taken.
 
     Every document is taken target // source_size times, and once more if its hash is below its
-    source's threshold. At the threshold itself, cut=True takes the words that the target still wants, so that a source
-    meets its rounded target; cut=False takes the document whole if that comes nearer. Rows of one hash (repeated
-    ids) stand together; with cut they share the words in proportion, rounded down. Null text: size 0; null source: a
-    source of its own; null id: hashed as such. No sort of documents; reruns agree, and a larger budget keeps all
-    that a smaller one took. An empty table gives an empty one.
+    source's threshold; the document at the threshold gives the words that the target still wants, so that a source
+    meets its rounded target. Rows of one hash (repeated ids) stand together and share those words in proportion,
+    rounded down. Null text: size 0; null source: a source of its own; null id: hashed as such. No sort of
+    documents; reruns agree, and a larger budget keeps all that a smaller one took. An empty table gives an empty one.
     """
-    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    digest = F.shiftright(F.xxhash64(F.col(id_col), F.lit(11)), 4).bitwiseAND(F.lit((1 << (LEVEL_BITS * LEVELS)) - 1))
-    sizes = stage(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.alias("size"), digest.alias("hash")), "mixing-sizes")
-    found = thresholds(sizes, stage(source_targets(sizes, weights, share, max_repeats), "mixing-targets"))
-    low = found.withColumnRenamed("source", "s")
-    at = sizes.join(low, sizes.source.eqNullSafe(F.col("s"))).where(F.col("hash") == F.col("low")).groupBy("source").agg(F.sum("size").alias("tied"))
-    low = low.join(at, F.col("s").eqNullSafe(at.source), "left").drop("source")
-    tied = F.coalesce(F.col("tied"), F.lit(0))
-    part = F.floor(F.col("size") * F.col("left") / tied) if cut else F.when(2 * F.col("left") >= tied, F.col("size")).otherwise(0)
-    extra = F.when(F.col("hash") < F.col("low"), F.col("size")).when((F.col("hash") == F.col("low")) & (tied > 0), part).otherwise(0)
-    out = sizes.join(low, sizes.source.eqNullSafe(F.col("s")))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", "hash", (F.col("full") * F.col("size") + extra).cast("long").alias("taken"))
+    sizes = stage(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), _size(text).alias("size"), _hash(id_col).alias("hash")), "mixing-sizes")
+    out = sizes.join(budgets(sizes, weights, share, max_repeats), sizes.source.eqNullSafe(F.col("b_source")))
+    part = F.when(F.col("b_tied") > 0, F.floor(F.col("size") * F.col("b_left") / F.col("b_tied"))).otherwise(0)
+    extra = F.when(F.col("hash") < F.col("b_low"), F.col("size")).when(F.col("hash") == F.col("b_low"), part).otherwise(0)
+    taken = (F.col("b_full") * F.col("size") + extra).cast("long").alias("taken")
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", F.col("b_source_size").alias("source_size"), F.col("b_target").alias("target"), "hash", taken)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, max_repeats: float = MAX_REPEATS, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs in the mix, whole, each as often as it is taken: as mix() but for the document at a
+    threshold, which is taken if that comes nearer to the target. Columns as in docs."""
+    names = docs.columns
+    work = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ident, body, origin = (f"c{names.index(c)}" for c in (id_col, text, source))
+    sizes = stage(work.select(F.col(origin).alias("source"), _size(body).alias("size"), _hash(ident).alias("hash")), "mixing-sizes")
+    plan = budgets(sizes, weights, share, max_repeats)
+    out = work.withColumn("hash", _hash(ident)).join(plan, F.col(origin).eqNullSafe(F.col("b_source")))
+    once = (F.col("hash") < F.col("b_low")) | ((F.col("hash") == F.col("b_low")) & (2 * F.col("b_left") >= F.col("b_tied")))
+    times = F.col("b_full") + once.cast("long")
+    out = out.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*work.columns).toDF(*names)

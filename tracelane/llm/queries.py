@@ -66,7 +66,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelane.llm.similarity_join import jaccard_join
 
-    return jaccard_join(documents(spark, sf_dir)).drop("row", "class_row")
+    return jaccard_join(documents(spark, sf_dir)).drop("kept", "digest")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

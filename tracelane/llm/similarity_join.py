@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelane.llm.common import partitions, stage, texts
@@ -130,8 +130,8 @@ def _values(column) -> np.ndarray:
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: its id, class_id (least id of its class: rows joined by chains of links), n_links (other rows whose
-    five-word shingle sets have Jaccard similarity of at least the threshold), n_copies (rows with an equal set, itself included), row
-    (a number of the row; the kept row of a class is the one where row == class_row), class_row.
+    five-word shingle sets have Jaccard similarity of at least the threshold), n_copies (rows with an equal set, itself included), kept
+    (one row of each class: the first of its least id), digest (of the text).
 
     Null texts are empty; texts without words equal each other alone; a text under five words is one shingle.
     Rows of one id are rows of their own; a null id is allowed. An empty table gives an empty one. Columns not named are not read.
@@ -227,6 +227,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     classes = components(checked, "join-classes").withColumnRenamed("node", "rep")
     links = checked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     out = members.join(classes, "rep", "left").join(links, "rep", "left")
-    out = out.select("row", "id", "copies", F.coalesce("component", "rep").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = out.groupBy("class_row").agg(F.min("id").alias("class_id"))
-    return out.join(least, "class_row").select(F.col("id").alias(id_col), "class_id", "n_links", F.col("copies").alias("n_copies"), "row", "class_row")
+    out = out.select("row", "id", "copies", "digest", F.coalesce("component", "rep").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    lead = out.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("lead"))
+    kept = (F.col("row") == F.col("lead.row")).alias("kept")
+    return out.join(lead, "class_row").select(F.col("id").alias(id_col), F.col("lead.id").alias("class_id"), "n_links", F.col("copies").alias("n_copies"), kept, "digest")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that jaccard_join() keeps: of each class the one of the least id, of equal rows one. Columns as in docs."""
+    names = docs.columns
+    work = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ident, body = (f"c{names.index(c)}" for c in (id_col, text))
+    found = jaccard_join(work, id_col=ident, text=body, **options).where("kept").select(F.col(ident).alias("of"), F.col("digest").alias("of_digest"))
+    met = work.withColumn("digest", F.xxhash64(F.coalesce(F.col(body), F.lit("")))).join(found, F.col(ident).eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(ident, "digest").orderBy("digest"))
+    return met.withColumn("nth", first).where("nth = 1").select(*work.columns).toDF(*names)
