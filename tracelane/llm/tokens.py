@@ -3,54 +3,83 @@
 Both vocabularies here split a text before a space that a non-space follows, whatever stands around
 it, so the ids of a text are the ids of its space-separated pieces in a row. Natural text repeats its
 pieces, and a worker looks most of them up. A text in which a space precedes white space or its end is
-encoded whole where white space gives ids.
+encoded whole where white space gives ids. A piece that is one word and perhaps a comma or full stop goes to the
+vocabulary's model at once, as the two pre-tokens it is.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces a worker holds before it starts over; bounds memory, not results.
-MAX_PIECES = 400_000
+MAX_PIECES = 500_000
 #: Characters encoded at a time.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 3_000_000
+#: Characters by byte, as byte-level vocabularies write them: printable ones stand for themselves, the others for those from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_TABLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class PieceEncoder:
     """drops_space: the vocabulary gives no ids for white space."""
 
     def __init__(self, path: str, drops_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.drops_space = drops_space
         self.odd = re.compile(r" \s| $")
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.n = 0
 
+    def _word(self, piece: str) -> list[int] | None:
+        """Ids of a piece that is a word of plain letters, perhaps with a stop; None if it is not."""
+        stop = piece[-1:] if piece[-1:] in self.stops else ""
+        word = piece[:-1] if stop else piece
+        bare = word if self.drops_space else word.removeprefix(" ")
+        if not bare.isalpha() or max(bare) >= "\u0250":
+            return None
+        mapped = bare
+        if self.drops_space:
+            mapped = bare.lower()
+            if not mapped.isalpha():
+                return None
+        if not mapped.isascii():
+            mapped = mapped.encode().decode("latin-1").translate(BYTE_TABLE)
+        ids = [t.id for t in self.model.tokenize(mapped if len(word) == len(bare) else BYTE_TABLE[32] + mapped)]
+        return ids + self.stops[stop] if stop else ids
+
     def _add(self, strings: list[str]) -> np.ndarray:
         """Encodes the strings; their entry numbers."""
-        out = [e.ids for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
+        out = list(map(self._word, strings))
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
         lens = np.fromiter(map(len, out), np.int64, len(out))
         total = int(lens.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(out) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in out for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(out), np.uint32, total)
         at = np.arange(self.n, self.n + len(out))
         self.start[at] = self.used + np.cumsum(lens) - lens
         self.length[at] = lens
@@ -89,8 +118,11 @@ class PieceEncoder:
             entry[at[whole]] = self._add([plain[i] for i in whole])
         lens = self.length[entry]
         ends = np.cumsum(lens)
-        ids = self.ids[np.repeat(self.start[entry] - ends + lens, lens) + np.arange(ends[-1])]
-        return ids, np.diff(np.concatenate([[0], ends])[at])
+        if not len(ends):
+            return self.ids[:0], np.zeros(len(texts), np.int64)
+        from_at = np.repeat((self.start[entry] - ends + lens).astype(np.int32), lens)
+        from_at += np.arange(ends[-1], dtype=np.int32)
+        return self.ids[from_at], np.diff(np.concatenate([[0], ends])[at])
 
     def encode(self, texts: pa.Array):
         """Yields the ids of each text."""
