@@ -169,3 +169,63 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, id_col: str = "doc_id", te
 
     out = with_next(docs, id_col, text).select("bucket", "copy", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int")
     return out.withColumnRenamed("id", id_col)
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: its id, class_id (least id of the rows joined by chains of fingerprints that reach the threshold), n_signatures, length_partition.
+
+    Equal fingerprints are one. The inverted index holds, of each fingerprint, its first signatures in the order of their
+    frequency, rare first: as many as two sets that reach the threshold must share one of. An entry stands under its length partition
+    and under the next, so only sets of fitting lengths meet. Entries of one signature meet in blocks of at most BLOCK; blocks meet pairwise.
+    Rows as in fingerprints().
+    """
+    from tracelane.llm.common import stage
+    from tracelane.llm.components import components
+    from tracelane.llm.similarity_join import BLOCK, _groups, star
+
+    def sign(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = signatures(part.column("text").to_pylist(), chain)
+                key = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(key), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "key", "sigs"])
+
+    rows = texts(docs, id_col, text=text).select(F.col(id_col).cast("long").alias("id"), "text")
+    signed = stage(rows.mapInArrow(sign, "id long, key string, sigs array<long>"), "spotsigs-signed")
+    heads = stage(signed.groupBy("key").agg(F.first("sigs").alias("sigs")).withColumn("node", F.monotonically_increasing_id()), "spotsigs-heads")
+    each = heads.select("node", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, "sig").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("shared"))
+    # Signatures that no other fingerprint has come first in the order of frequency; they meet none, but count.
+    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    chosen = ranked.where(first > 0).select("node", "n", F.explode(F.slice("shared", 1, first.cast("int"))).alias("s")).select("node", "n", "s.sig", "s.often")
+    own = F.when(F.col("n") < 1, 0).otherwise(1 + F.floor(F.log("n") / -math.log(threshold) + 1e-9)).cast("int")
+    entries = chosen.withColumn("own", own).withColumn("length_part", F.explode(F.array("own", F.col("own") + 1)))
+    blocks = F.ceil(F.col("often") / BLOCK).cast("int")
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    entries = entries.select("sig", "length_part", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node")
+    met = entries.join(heads.select("node", "sigs"), "node")
+
+    def compare(batches):
+        for group in _groups(batches, ["sig", "length_part", "lo", "hi"]):
+            node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
+            if len(node) < 2:
+                continue
+            sets = [np.array(s, np.int64) for s in group.column("sigs").to_pylist()]
+            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+            pairs = [(i, j) for i in range(len(node)) for j in range(i) if (block[i] != block[j]) == (lo != hi) and pruned_jaccard(sets[i], sets[j], threshold) >= threshold - 1e-9]
+            if pairs:
+                i, j = (np.array(x) for x in zip(*pairs))
+                root = star(len(node), i, j)
+                some = np.flatnonzero(root != np.arange(len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], ["a", "b"])
+
+    keys = ["sig", "length_part", "lo", "hi"]
+    linked = met.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    found = components(linked, "spotsigs")
+    known = heads.select("key", "node", F.size("sigs").alias("n_signatures")).join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    out = signed.select("id", "key").join(known, "key")
+    least = out.groupBy("class").agg(F.min("id").alias("class_id"))
+    part = F.when(F.col("n_signatures") < 1, 0).otherwise(1 + F.floor(F.log("n_signatures") / -math.log(threshold) + 1e-9)).cast("int")
+    return out.join(least, "class").select(F.col("id").alias(id_col), "class_id", F.col("n_signatures").cast("long").alias("n_signatures"), part.alias("length_partition"))
