@@ -141,7 +141,7 @@ def recover_stream_ids(events: DataFrame) -> DataFrame:
     tracks = ok.groupBy("trace_id").agg(F.count_distinct("d.track_alias").alias("tracks"))
     sized = obj.join(tracks, "trace_id", "left").select(*SIDE, F.log(F.greatest("size", F.lit(1)).cast("double")).alias("log_size"), F.coalesce("tracks", F.lit(2)).alias("tracks"))
 
-    def fit(key, group: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         found = fit_clusters(group.log_size.to_numpy(), int(group.tracks.iloc[0]))
         return pd.DataFrame([(*key, [c for c, _ in found], [s for _, s in found])], columns=[*SIDE, "centres", "spreads"])
 
@@ -149,7 +149,7 @@ def recover_stream_ids(events: DataFrame) -> DataFrame:
     counted = heads.groupBy(*BUCKET).agg(F.count("*").alias("headers"))
     todo = obj.join(counted, BUCKET, "left").join(clusters, SIDE).withColumn("log_size", F.log(F.greatest("size", F.lit(1)).cast("double")))
 
-    def solve(key, group: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(_p=group.place.map(lambda p: (p["block"], p["line"], p["part"]) if isinstance(p, dict) else tuple(p))).sort_values(["time_us", "_p"], kind="stable")
         ids = group.object_id.tolist()
         most = int(group.object_id.value_counts().iloc[0])

@@ -5,6 +5,7 @@ The statements are plain SQL that reads the same everywhere; EPOCH stands for th
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -91,8 +92,16 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     from tracelane.sources.load import tracks
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    head = with_clause([n for n in STEPS], SPARK_EPOCH).replace("FROM events)", "FROM {events})")
-    get = lambda name, cols="*": spark.sql(f"{head} SELECT {cols} FROM {name}", events=events)
+    folder, made = scratch(spark), {"events": events}
+
+    def get(name: str, columns: str = "*") -> DataFrame:
+        text = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in made else m[0], STEPS[name].replace("EPOCH", SPARK_EPOCH))
+        used = {n: f for n, f in made.items() if f"{{{n}}}" in text}
+        return spark.sql(f"SELECT {columns} FROM ({text})", **used)
+
+    for name in ("sent", "ok", "passed", "logged"):
+        get(name).write.parquet(f"{folder}/{name}")
+        made[name] = spark.read.parquet(f"{folder}/{name}")
     control = get("control_message", "trace_id, time_us, direction, message_type, stream_id, subscribe_id, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS STRING) AS request_kind, track_alias, track_namespace, track_name, map_from_arrays(array(), array()) AS parameters, CAST(NULL AS STRING) AS track_extensions")
     trace = get("trace", "trace_id, cid, filename, CAST(NULL AS TIMESTAMP) AS loaded_at, CAST(NULL AS STRING) AS title, CAST(NULL AS STRING) AS description, vantage_point, reference_us, reference_time_source, stream_id_source, CAST(NULL AS INT) AS stream_id_uncertain, CAST(NULL AS INT) AS stream_id_unresolved, time_format, CAST(NULL AS STRING) AS flush_policy, CAST(NULL AS STRING) AS qlog_version, CAST(NULL AS STRING) AS qlog_format, CAST(NULL AS ARRAY<STRING>) AS event_schemas")
     other = events.selectExpr("CAST(1 AS INT) AS trace_id", f"CAST(floor({SPARK_EPOCH} / 1000) AS BIGINT) AS time_us", "event_type AS name", "props AS data")
