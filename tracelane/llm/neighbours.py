@@ -89,7 +89,7 @@ class Model:
             near = np.argpartition(cos, -k, axis=1)[:, -k:]
             vote = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6) ** 4 * self.weight[near]
             out[at : at + 512] = (vote * self.good[near]).sum(axis=1) / vote.sum(axis=1)
-        return out
+        return np.round(np.clip(out, 0, 1), 6)
 
 
 def fold(id_col: str = "doc_id") -> Column:
