@@ -11,19 +11,31 @@ from tracelane.llm.common import stage
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node, component (its least node) for the ends of edges (a, b long).
 
-    Every round a node takes the least label among its neighbours, then the label of that label, so
-    paths shorten by at least half; a round is one staged table, and only the count of changes reaches the driver. Hot nodes
-    aggregate before the shuffle.
+    A round gives every node the least of its neighbours and itself as parent, follows parents to their roots, and contracts: edges
+    become edges between roots, once each, and those within a root go. Each round at least halves the
+    nodes left, and a dense group is gone after one. Tables of a round are staged; only whether any row is left reaches the
+    driver. Hot nodes aggregate before the shuffle.
     """
-    both = edges.where("a != b").select("a", "b")
-    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), f"{label}-labels")
+    left = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = stage(left.distinct(), f"{label}-edges")
+    found = None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        step = step.join(jump, F.col("via") == F.col("n2")).select("node", "was", F.least("via", "c2").alias("component"))
-        step = stage(step, f"{label}-labels")
-        if not step.where("component != was").limit(1).count():
-            return step.select("node", "component")
-        labels = step.select("node", "component")
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), f"{label}-parents")
+        while True:
+            up = roots.select(F.col("node").alias("at"), F.col("root").alias("up"))
+            roots = stage(roots.join(up, F.col("root") == F.col("at")).select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), f"{label}-roots")
+            if not roots.where("moved").limit(1).count():
+                break
+            roots = roots.drop("moved")
+        roots = roots.select("node", "root")
+        if found is None:
+            found = roots.withColumnRenamed("root", "component")
+        else:
+            found = found.join(roots.withColumnRenamed("node", "at"), F.col("component") == F.col("at"), "left")
+            found = stage(found.select("node", F.coalesce("root", "component").alias("component")), f"{label}-found")
+        ends = left.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").select("b", "x")
+        ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x != y")
+        left = stage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-edges")
+        if not left.limit(1).count():
+            return found
