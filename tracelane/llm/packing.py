@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 
 import numpy as np
@@ -46,17 +47,22 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _projection(dims: int, seed: int) -> np.ndarray:
-    """A row for each hash of a token id: the random vector that the id adds to its document's."""
-    return np.random.default_rng(seed).standard_normal((1 << 16, dims)).astype(np.float32)
+    """Of each hash of a token id, the random vector that the id adds to its document's: an array for each dimension."""
+    return np.random.default_rng(seed).standard_normal((dims, 1 << 16)).astype(np.float32)
 
 
-def curve_key(ids: np.ndarray, dims: int = DIMS, bits: int = BITS, seed: int = 7) -> int:
-    """Projects the hashed counts of a document's ids to few dimensions and takes its direction's key."""
-    at = _projection(dims, seed)[ids & 0xFFFF].sum(axis=0, dtype=np.float64)
-    length = float(np.sqrt((at * at).sum()))
-    unit = at / length if length else at
-    cell = np.clip(((unit + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
-    return int(hilbert_key(cell[None, :], bits)[0])
+def project(ids: np.ndarray, dims: int = DIMS, seed: int = 7) -> list[float]:
+    """The direction of a document's hashed token counts in few dimensions."""
+    hashed = (ids & 0xFFFF).astype(np.int64)
+    at = [float(axis.take(hashed).sum(dtype=np.float64)) for axis in _projection(dims, seed)]
+    length = math.sqrt(sum(x * x for x in at))
+    return [x / length if length else 0.0 for x in at]
+
+
+def curve_keys(units: list[list[float]], bits: int = BITS) -> np.ndarray:
+    """The Hilbert key of each direction's cell."""
+    cells = np.clip(((np.array(units).reshape(len(units), -1) + 1) / 2 * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
+    return hilbert_key(cells, bits) if len(units) else np.zeros(0, np.int64)
 
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,13 +81,13 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
     def encode(batches):
         enc = encoder(tokenizer, True)
         for batch in batches:
-            data, n, key = [], [], []
+            data, n, units = [], [], []
             for ids in enc.encode(batch.column("text")):
                 ids = np.append(ids, np.uint32(end_id))
-                key.append(curve_key(ids))
+                units.append(project(ids))
                 n.append(len(ids))
                 data.append(ids.astype("<u2" if int(ids.max()) < 1 << 16 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(data, pa.binary())], ["id", "doc_tokens", "curve_key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(curve_keys(units)), pa.array(data, pa.binary())], ["id", "doc_tokens", "curve_key", "ids"])
 
     rows = texts(docs, id_col, text=text).withColumnRenamed(id_col, "id")
     kind = rows.schema["id"].dataType.simpleString()

@@ -100,6 +100,8 @@ class PieceEncoder:
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MAX_PIECES:
             self._reset()
+        if self.drops_space:  # such a vocabulary lowers letters, and any white space parts its words
+            texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         plain = texts.to_pylist()
         odd = np.array([not self.drops_space and self.odd.search(t) is not None for t in plain])
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
