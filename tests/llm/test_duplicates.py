@@ -165,7 +165,7 @@ def test_covered(pairs):
         ok = [(x, y) for j in range(len(pairs)) if j != i for x, y in [(repeats.shared(lefts[i], lefts[j]), repeats.shared(rights[i], rights[j]))] if x + y >= 8]
         want.append((max((x for x, _ in ok), default=0), max((y for _, y in ok), default=0)))
     got = repeats.covered(rights, lcps, lefts, 8)
-    assert got == want
+    assert got == want == repeats.reaches(rights, lcps, lefts, 8)
 
 
 def test_spotsigs(spark, make, odd):

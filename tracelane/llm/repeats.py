@@ -215,6 +215,27 @@ def covered(rights: list[bytes], lcps: list[int], lefts: list[bytes], length: in
     return list(zip(near.tolist(), far.tolist()))
 
 
+def reaches(rights: list[bytes], lcps: list[int], lefts: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
+    """covered() of a group in which contexts repeat: each distinct one is compared once, and one that occurs twice covers all of itself."""
+    number: dict[tuple[bytes, bytes], int] = {}
+    of, firsts, between, count, low = [], [], [], [], 1 << 30
+    for i, context in enumerate(zip(rights, lefts)):
+        low = min(low, lcps[i])
+        k = number.setdefault(context, len(firsts))
+        if k == len(firsts):
+            firsts.append(i)
+            between.append(low)
+            count.append(0)
+            low = 1 << 30
+        count[k] += 1
+        of.append(k)
+    found = covered([rights[i] for i in firsts], between, [lefts[i] for i in firsts], length) if len(firsts) > 1 else [(0, 0)]
+    for k, i in enumerate(firsts):
+        if count[k] > 1 and len(rights[i]) + len(lefts[i]) >= length:
+            found[k] = (len(lefts[i]), len(rights[i]))
+    return [found[k] for k in of]
+
+
 def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_string())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -289,7 +310,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
         def flush():
             if len(group) > 1:
-                for (_, _, _, doc, digest, place), (near, far) in zip(group, covered([r[0] for r in group], lcps, [r[2] for r in group], length)):
+                reach = reaches([r[0] for r in group], lcps, [r[2] for r in group], length)
+                for (_, _, _, doc, digest, place), (near, far) in zip(group, reach):
                     if far:
                         out.append((doc, digest, place - near, place + far))
 
