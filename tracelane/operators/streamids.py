@@ -3,7 +3,8 @@
 Objects of one subgroup come on as many streams as it has headers. On each stream object ids are consecutive, and sizes stay near
 those of one track. Sizes of a trace's direction are clustered into as many groups as it has tracks; each subgroup is then cut into
 chains of least total deviation by dynamic programming over the open chains, and chains and headers are paired in the order of time.
-Clusters are fitted per trace and direction, subgroups are solved in parallel, and ids are numbered by windows.
+Clusters are fitted per trace and direction over its distinct sizes and how often each occurs, subgroups are solved in parallel, and ids are
+numbered by windows.
 """
 
 from __future__ import annotations
@@ -22,21 +23,24 @@ SIDE = ["trace_id", "direction"]
 BUCKET = [*SIDE, "group_id", "subgroup_id"]
 
 
-def fit_clusters(log_sizes: np.ndarray, k: int) -> list[tuple[float, float]]:
+def fit_clusters(log_sizes: np.ndarray, k: int, times: np.ndarray | None = None) -> list[tuple[float, float]]:
     """Centre and spread of k groups of sizes on a line: seeds at the middles of k equal shares of the sorted sizes; a tie goes to the lower group; an
-    empty group stays where it is."""
-    n = len(log_sizes)
+    empty group stays where it is. times: how often each size occurs (once each)."""
+    times = np.ones(len(log_sizes), np.int64) if times is None else times
+    n = int(times.sum())
     k = min(max(k, 1), max(n, 1))
     if not n:
         return [(0.0, 1.0)]
-    ordered = np.sort(log_sizes)
-    centre = ordered[np.minimum(((np.arange(k) + 0.5) / k * n).astype(int), n - 1)].astype(float)
+    order = np.argsort(log_sizes, kind="stable")
+    log_sizes, times = log_sizes[order], times[order]
+    seeds = np.minimum(((np.arange(k) + 0.5) / k * n).astype(int), n - 1)
+    centre = log_sizes[np.searchsorted(np.cumsum(times), seeds, side="right")].astype(float)
     for _ in range(ROUNDS):
         own = np.abs(log_sizes[:, None] - centre).argmin(axis=1)
-        count = np.bincount(own, minlength=k)
-        total = np.bincount(own, weights=log_sizes, minlength=k)
+        count = np.bincount(own, weights=times, minlength=k)
+        total = np.bincount(own, weights=log_sizes * times, minlength=k)
         centre = np.where(count > 0, total / np.maximum(count, 1), centre)
-    square = np.bincount(own, weights=(log_sizes - centre[own]) ** 2, minlength=k)
+    square = np.bincount(own, weights=(log_sizes - centre[own]) ** 2 * times, minlength=k)
     spread = np.sqrt(np.where(count > 1, square / np.maximum(count - 1, 1), 1.0))
     return [(float(c), max(float(s), LEAST_SPREAD)) for c, s in zip(centre, spread)]
 
@@ -134,53 +138,51 @@ def recover_stream_ids(events: DataFrame) -> DataFrame:
         "trace_id", "place", kind.alias("kind"), direction.alias("direction"), "time_us", number("group_id").alias("group_id"), number("subgroup_id").alias("subgroup_id"), number("object_id").alias("object_id"),
         number("object_payload_length").alias("size"), number("track_alias").alias("alias"),
     )
-    usable = "time_us IS NOT NULL AND group_id IS NOT NULL AND subgroup_id IS NOT NULL"
-    obj = rows.where(f"kind = 'object' AND {usable} AND object_id IS NOT NULL AND size IS NOT NULL")
-    heads = rows.where(f"kind = 'header' AND {usable} AND alias IS NOT NULL")
+    placed = F.col("time_us").isNotNull() & F.col("group_id").isNotNull() & F.col("subgroup_id").isNotNull()
+    sized = (F.col("kind") == "object") & F.col("object_id").isNotNull() & F.col("size").isNotNull()
+    named = (F.col("kind") == "header") & F.col("alias").isNotNull()
+    usable = placed & (sized | named)
     ok = events.where("name IN ('moqt:control_message_created', 'moqt:control_message_parsed') AND d.message_type = 'subscribe_ok' AND d.track_alias IS NOT NULL")
     tracks = ok.groupBy("trace_id").agg(F.count_distinct("d.track_alias").alias("tracks"))
-    sized = obj.join(tracks, "trace_id", "left").select(*SIDE, F.log(F.greatest("size", F.lit(1)).cast("double")).alias("log_size"), F.coalesce("tracks", F.lit(2)).alias("tracks"))
+    log_size = F.log(F.greatest("size", F.lit(1)).cast("double"))
+    sizes = rows.where(placed & sized).groupBy(*SIDE, log_size.alias("log_size")).agg(F.count("*").alias("times"))
+    counted = sizes.join(tracks, "trace_id", "left").select(*SIDE, "log_size", "times", F.coalesce("tracks", F.lit(2)).alias("tracks"))
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = fit_clusters(group.log_size.to_numpy(), int(group.tracks.iloc[0]))
+        found = fit_clusters(group.log_size.to_numpy(), int(group.tracks.iloc[0]), group.times.to_numpy())
         return pd.DataFrame([(*key, [c for c, _ in found], [s for _, s in found])], columns=[*SIDE, "centres", "spreads"])
 
-    clusters = sized.groupBy(*SIDE).applyInPandas(fit, "trace_id int, direction string, centres array<double>, spreads array<double>")
-    counted = heads.groupBy(*BUCKET).agg(F.count("*").alias("headers"))
-    todo = obj.join(counted, BUCKET, "left").join(clusters, SIDE).withColumn("log_size", F.log(F.greatest("size", F.lit(1)).cast("double")))
+    clusters = counted.groupBy(*SIDE).applyInPandas(fit, "trace_id int, direction string, centres array<double>, spreads array<double>")
+    todo = rows.where(usable).join(clusters, SIDE, "left").withColumn("log_size", log_size).drop("size", "alias")
+    todo = todo.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), *BUCKET)  # few rows, but much work: not to be coalesced
 
     def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(_p=group.place.map(lambda p: (p["block"], p["line"], p["part"]) if isinstance(p, dict) else tuple(p))).sort_values(["time_us", "_p"], kind="stable")
-        ids = group.object_id.tolist()
-        most = int(group.object_id.value_counts().iloc[0])
-        heads_here = group.headers.iloc[0]
-        chains = max(0 if pd.isna(heads_here) else int(heads_here), most, 1)
-        found = cut_chains(ids, group.log_size.tolist(), chains, list(zip(group.centres.iloc[0], group.spreads.iloc[0])))
-        out = group[[*BUCKET, "place", "time_us"]].copy()
-        out["chain"] = found[0] if found else None
-        out["doubt"] = found[1] if found else False
-        return out.astype({"chain": "Int64"})
-
-    cut = todo.groupBy(*BUCKET).applyInPandas(solve, "trace_id int, direction string, group_id long, subgroup_id long, place struct<block:long,line:long,part:int>, time_us long, chain long, doubt boolean")
+        objects, heads = group[group.kind == "object"], group[group.kind == "header"]
+        picks, doubts, start = [None] * len(objects), [False] * len(objects), {}
+        if len(objects):
+            chains = max(len(heads), int(objects.object_id.value_counts().iloc[0]), 1)
+            found = cut_chains(objects.object_id.astype("int64").tolist(), objects.log_size.tolist(), chains, list(zip(objects.centres.iloc[0], objects.spreads.iloc[0])))
+            if found:
+                picks, doubts = found[:2]
+                for pick, time in zip(picks, objects.time_us):
+                    start.setdefault(pick, time)
+        # Headers and chains of a bucket, each in order of time, are paired by rank.
+        order, times = sorted(start, key=lambda c: (start[c], -c)), heads.time_us.tolist()
+        fits = bool(order) and len(order) == len(heads)
+        swaps = [fits and (i + 1 < len(times) and times[i + 1] <= start[order[i]] or i > 0 and times[i] <= start[order[i - 1]]) for i in range(len(times))]
+        out = pd.concat([objects, heads])[[*BUCKET, "kind", "place"]]
+        out["chain"] = pd.array([*picks, *(order if fits else [None] * len(heads))], "Int64")
+        return out.assign(doubt=[*doubts, *swaps], chains=len(start))
+
+    cut = todo.groupBy(*BUCKET).applyInPandas(solve, "trace_id int, direction string, group_id long, subgroup_id long, kind string, place struct<block:long,line:long,part:int>, chain long, doubt boolean, chains long")
+    cut = cut.persist()  # read twice below
     # Chains are numbered through the buckets of a side.
-    per = cut.groupBy(*BUCKET).agg(F.coalesce(F.max("chain") + 1, F.lit(0)).alias("chains"))
+    per = cut.groupBy(*BUCKET).agg(F.max("chains").alias("chains"))
     before = Window.partitionBy(*SIDE).orderBy("group_id", "subgroup_id").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("base", F.coalesce(F.sum("chains").over(before), F.lit(0)))
+    per = per.select(*BUCKET, F.coalesce(F.sum("chains").over(before), F.lit(0)).alias("base"))
     ident = 4 * (2 * (F.col("base") + F.col("chain") + 1) - F.when(F.col("direction") == "created", 1).otherwise(0))
-    named = cut.join(per, BUCKET).withColumn("recovered_id", ident)
-    certainty = F.when(F.col("recovered_id").isNull(), "unresolved").when(F.col("doubt"), "uncertain").otherwise("certain")
-    objects = named.select("trace_id", "place", "direction", F.lit("object").alias("kind"), "recovered_id", certainty.alias("certainty"))
-    # Headers and chains of a bucket, each in order of time, are paired by rank.
-    starts = named.where("recovered_id IS NOT NULL").groupBy(*BUCKET, "recovered_id", "chain", "chains").agg(F.min("time_us").alias("start"))
-    by_time = Window.partitionBy(*BUCKET).orderBy("start", F.desc("chain"))
-    ranked = starts.withColumn("rank", F.row_number().over(by_time)).withColumn("start_before", F.lag("start").over(by_time)).drop("chain")
-    by_head = Window.partitionBy(*BUCKET).orderBy("time_us", "place")
-    h = heads.withColumn("rank", F.row_number().over(by_head)).withColumn("next_head", F.lead("time_us").over(by_head)).join(counted, BUCKET)
-    met = h.join(ranked, [*BUCKET, "rank"], "left")
-    fits = F.col("chains") == F.col("headers")
-    swap = F.coalesce(F.col("next_head") <= F.col("start"), F.lit(False)) | F.coalesce(F.col("time_us") <= F.col("start_before"), F.lit(False))
-    sure = F.when(~F.coalesce(fits, F.lit(False)), "unresolved").when(swap, "uncertain").otherwise("certain")
-    headers = met.select("trace_id", "place", "direction", F.lit("header").alias("kind"), F.when(fits, F.col("recovered_id")).alias("recovered_id"), sure.alias("certainty"))
-    found = objects.unionByName(headers)
-    rest = rows.select("trace_id", "place", "direction", "kind").join(found.select("trace_id", "place"), ["trace_id", "place"], "left_anti")
+    certainty = F.when(F.col("chain").isNull(), "unresolved").when(F.col("doubt"), "uncertain").otherwise("certain")
+    found = cut.join(per, BUCKET).select("trace_id", "place", "direction", "kind", ident.alias("recovered_id"), certainty.alias("certainty"))
+    rest = rows.where(~usable).select("trace_id", "place", "direction", "kind")
     return found.unionByName(rest.withColumn("recovered_id", F.lit(None).cast("long")).withColumn("certainty", F.lit("unresolved")))

@@ -223,10 +223,13 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.array_join(F.json_object_keys("props"), ",").alias("keys"), F.get_json_object("props", "$.none").alias("missing"))
 
 
-def _written(spark: SparkSession, t: Tables) -> list[TraceSource]:
-    """The tables as log files in a scratch folder, one of few records a trace."""
+def _written(spark: SparkSession, t: Tables, bare: bool = False) -> list[TraceSource]:
+    """The tables as log files in a scratch folder, one of few records a trace. bare: every stream id is 0."""
     folder, sources = scratch(spark), []
-    lines = as_mlog(t).persist()
+    lines = as_mlog(t)
+    if bare:
+        lines = lines.withColumn("line", F.regexp_replace("line", '"stream_id":[0-9]+', '"stream_id":0'))
+    lines = lines.persist()
     for r in t.trace.select("filename", "cid").orderBy("trace_id").collect():
         at = f"{folder}/{r.filename}"
         lines.where(F.col("filename") == r.filename).coalesce(1).sortWithinPartitions("time_us").select("line").write.text(at)
@@ -258,21 +261,19 @@ def streaming_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The publisher's objects of two tracks and some groups, logged without stream ids: how well the recovered ids part them."""
+    """Every object of the capture, logged without stream ids: how well the recovered ids part the streams of each trace.
+
+    A row for each stream and each id that objects of it got; found_id is null for the objects of subgroups that cannot be cut into chains.
+    """
     t = demo_tables(spark, sf_dir)
-    some = t.subgroup_stream.where("trace_id = 1 AND track_alias <= 2 AND group_id < 10").select("trace_id", "stream_id", F.col("stream_id").alias("true_id"))
-    bare = lambda f: f.join(some.select("trace_id", "stream_id"), ["trace_id", "stream_id"])
-    ids = bare(t.subgroup_stream).withColumn("true_id", F.col("stream_id"))
-    small = t.with_(trace=t.trace.where("trace_id = 1"), control_message=t.control_message.where("trace_id = 1 AND subscribe_id < 2"), subgroup_stream=bare(t.subgroup_stream), subgroup_object=bare(t.subgroup_object))
-    zeroed = as_mlog(small).withColumn("line", F.regexp_replace("line", '"stream_id":[0-9]+', '"stream_id":0'))
-    folder = scratch(spark)
-    zeroed.coalesce(1).sortWithinPartitions("time_us").select("line").write.text(folder)
-    path = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").first().path
-    back = load_tables(spark, [TraceSource("pub_client.mlog", "pub", path)])
-    truth = small.subgroup_object.join(ids.select("stream_id", "true_id"), "stream_id").select("true_id", "object_id", "time_us", "payload_length")
-    found = back.subgroup_object.select(F.col("stream_id").alias("found_id"), "object_id", "time_us", "payload_length")
-    pairs = truth.join(found, ["object_id", "time_us", "payload_length"])
-    return pairs.groupBy("true_id", "found_id").agg(F.count("*").alias("objects"))
+    back = load_tables(spark, _written(spark, t, bare=True))
+
+    def placed(tables: Tables, name: str) -> DataFrame:
+        streams = tables.subgroup_stream.select("trace_id", "stream_id", "group_id", "subgroup_id")
+        return tables.subgroup_object.join(streams, ["trace_id", "stream_id"]).select("trace_id", F.col("stream_id").alias(name), "group_id", "subgroup_id", "object_id", "time_us", "payload_length")
+
+    pairs = placed(t, "true_id").join(placed(back, "found_id"), ["trace_id", "group_id", "subgroup_id", "object_id", "time_us", "payload_length"], "left")
+    return pairs.groupBy("trace_id", "true_id", "found_id").agg(F.count("*").alias("objects"))
 
 
 def except_all_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
