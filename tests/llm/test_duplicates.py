@@ -128,13 +128,44 @@ def check_repeats(got, rows, length):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
-def test_repeats_equal_brute_force(spark, make):
+@pytest.mark.parametrize("group", [4096, 3])
+def test_repeats_equal_brute_force(spark, make, group):
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     common, short = text(90), text(35)
     rows = [(i, text(60) + common[rng.randrange(30) :] + text(40) + (short if i % 3 else "") + text(50)) for i in range(30)]
     rows += [(90, rows[0][1]), (90, rows[0][1]), (91, "ab" * 100), (92, "x" * 300), (93, common + text(10) + common), (94, None), (95, ""), (None, text(20) + common)]
-    check_repeats(repeats.remove_repeats(make(rows), length=40, gram=16).collect(), rows, 40)
+    check_repeats(repeats.remove_repeats(make(rows), length=40, gram=16, group=group, step=5).collect(), rows, 40)
+
+
+@pytest.mark.parametrize("group", [4096, 8, 2])
+def test_repeats_of_a_crowded_phrase(spark, make, group):
+    """A phrase shorter than a window in every row; some rows are near copies of each other, so that single windows of its contexts repeat."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, around = text(30), [(text(40), text(40)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        before, after = around[i % 4][0], around[i // 7 % 4][1]
+        k, j = rng.randrange(1, 40), rng.randrange(1, 40)
+        rows.append((i, text(k) + before[k:] + phrase + after[:j] + text(40 - j)))
+    check_repeats(repeats.remove_repeats(make(rows), length=40, gram=16, group=group, step=7).collect(), rows, 40)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=60), max_size=6))
+def test_anchors(bodies):
+    """Every window has one anchor, which it holds, at the same place as every equal window."""
+    starts = np.cumsum([0, *map(len, bodies)])
+    text = "".join(bodies)
+    at, first, last, _ = repeats.anchors(np.frombuffer(text.encode(), np.uint8), starts, 12, 4)
+    found = {}
+    for p, a, b in zip(at.tolist(), first.tolist(), last.tolist()):
+        for w in range(a, b + 1):
+            assert w not in found and w <= p <= w + 8
+            found[w] = p - w
+    assert sorted(found) == [s + i for s, t in zip(starts.tolist(), bodies) for i in range(len(t) - 11)]
+    assert len({(text[w : w + 12], d) for w, d in found.items()}) == len({text[w : w + 12] for w in found})
 
 
 def test_repeats_odd_rows(spark, odd, make):
@@ -165,7 +196,8 @@ def test_covered(pairs):
         ok = [(x, y) for j in range(len(pairs)) if j != i for x, y in [(repeats.shared(lefts[i], lefts[j]), repeats.shared(rights[i], rights[j]))] if x + y >= 8]
         want.append((max((x for x, _ in ok), default=0), max((y for _, y in ok), default=0)))
     got = repeats.covered(rights, lcps, lefts, 8)
-    assert got == want == repeats.reaches(rights, lcps, lefts, 8)
+    assert got == want == repeats.reaches(rights, lcps, lefts, [False] * len(pairs), 8)
+    assert repeats.reaches(rights, lcps, lefts, [True] * len(pairs), 8) == [(len(a), len(b)) for a, b in zip(lefts, rights)]
 
 
 def test_spotsigs(spark, make, odd):
