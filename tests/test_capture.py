@@ -133,7 +133,7 @@ def test_bins(spark):
     from tracelane.operators.views import distribution_bin, distribution_summary
 
     values = [(float(v),) for v in range(101)] + [(1000.0,)]
-    sample = spark.createDataFrame(values, "value double").selectExpr("'interarrival' AS measure", "'ms' AS unit", "'relay' AS measured_at", "'all' AS scope", "CAST(NULL AS STRING) AS track_namespace", "CAST(NULL AS STRING) AS track_name", "value")
+    sample = spark.createDataFrame(values, "value double").selectExpr("'interarrival' AS measure", "'ms' AS unit", "'relay' AS measured_at", "'all' AS scope", "CAST(NULL AS STRING) AS track_namespace", "CAST(NULL AS STRING) AS track_name", "value", "1L AS n")
     summary = distribution_summary(sample)
     assert round(summary.first().p99, 2) == 99.99
     bins = [(r.lo, r.hi, r["count"]) for r in distribution_bin(sample, summary).orderBy("bin").collect()]
@@ -179,6 +179,10 @@ def test_refusals(spark, tmp_path):
     assert "header first" in failure(spark, [write(tmp_path, "h_client.mlog", base()[1:])])["message"]
     both = write(tmp_path, "d_client.mlog", base(stream(5, 6, 5, 8, "created"), stream(6, 2, 5, 9, "created")))
     assert "both a sent and a received" in failure(spark, [both])["message"]
+    nameless = stream(5, 6, 5, 8)
+    del nameless["data"]["stream_id"]
+    assert "NULL stream_id in subgroup_stream" in failure(spark, [write(tmp_path, "k_client.mlog", base(stream(5, 6, 5, 8), nameless))])["message"]
+    assert "duplicate key in subgroup_stream" in failure(spark, [write(tmp_path, "t_client.mlog", base(stream(5, 6, 5, 8), stream(6, 6, 5, 9)))])["message"]
     one = write(tmp_path, "s_client.mlog", base())
     assert "already loaded" in failure(spark, [one, one])["message"]
     with pytest.raises(CaptureError):

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracelane.functions.csv import csv_lines, to_csv
-from tracelane.functions.fingerprint import structure
+from tracelane.functions.fingerprint import skeleton, structure
 from tracelane.operators import report
 from tracelane.operators.streamids import cut_chains, fit_clusters, name_clusters
 from tracelane.plans.schema import SHAPE_BASELINE
@@ -19,6 +19,30 @@ def test_structure():
     assert structure("{") is None and structure(None) is None
 
 
+def test_skeleton(spark):
+    """Texts of one skeleton have one structure."""
+    texts = ['{"a":1,"b":"x"}', '{"a":2,"b":"y: 3"}', '{"a":-2,"b":"y"}', '{"a":-0,"b":"y"}', '{"a":2.5,"b":"y"}', '{"a":1e3,"b":""}', '{"b":"x","a":1}', '{"a1":1,"b":"x"}', '{"a":18446744073709551616,"b":"q"}', '{"a":9007199254740993,"b":"q"}', '[1,2]', '[1]', "[]", '{"k\\":":1}', '{"k\\":":"1"}', "tr", None, "", '{"a":01,"b":"x"}', '[true]', '[false]']
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", skeleton("t").alias("s")).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.s, set()).add(structure(r.t))
+    assert all(len(v) == 1 for v in of.values()) and len(of) <= len(texts) - 2
+
+
+def test_slices(spark):
+    """The row before is found across slices of time, within each key."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tracelane.operators import views
+
+    rng = np.random.default_rng(2)
+    rows = [(int(k) or None, int(t) if t % 11 else None, i, int(v) if v else None) for i, (k, t, v) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(-5, 60, 200) * 1_700_000, rng.integers(0, 9, 200)))]
+    df = spark.createDataFrame(rows, "k int, t long, i int, v int")
+    want = df.withColumn("before", F.lag("v").over(Window.partitionBy("k").orderBy("t", "i")))
+    assert sorted(map(str, views._before(df, "v", ["k"], ["t", "i"]).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_baseline():
     assert len(SHAPE_BASELINE) == len(set(SHAPE_BASELINE)) == 17 and all(json.loads(f) for _, f in SHAPE_BASELINE)
 

@@ -63,3 +63,19 @@ def json_structure(column: Column | str) -> Column:
         return values.map({v: structure(v) for v in values.unique()})
 
     return of(F.col(column) if isinstance(column, str) else column)
+
+
+#: Names and strings whole, numbers, and every other character by itself.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"\s*+:?+|-?\d[\d.eE+-]*+|[\s\S]'
+
+
+def skeleton(column: Column | str) -> Column:
+    """A JSON text without its strings and numbers, but for the kind of each: texts of one skeleton have one structure(). For grouping in the JVM before
+    structure() sees one of each group."""
+    text = F.col(column) if isinstance(column, str) else column
+    def mark(t: Column) -> Column:
+        # Numbers of up to 18 characters are in the range of their kind.
+        number = F.when(t.rlike("[.eE]"), "#d").when((F.length(t) > 18) | (t == "-0"), t).when(t.startswith("-"), "#i").otherwise("#u")
+        return F.when(t.rlike('^".*:$'), t).when(t.startswith('"'), "#s").when(t.rlike(r"^-?\d"), number).otherwise(t)
+
+    return F.concat(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), mark), ""), F.when(F.try_parse_json(text).isNull(), "#").otherwise(""))

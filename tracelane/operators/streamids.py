@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelane.sources.store import Store
+
 # The rounds of clustering, the least spread of a cluster, the margin below which a choice is uncertain, the cost of a chain that doesn't start
 # at object 0, and how many states a step keeps.
 ROUNDS, LEAST_SPREAD, MARGIN, LATE_START, BEAM = 25, 0.05, 1.0, 8.0, 8192
@@ -126,7 +128,7 @@ def is_stock(events: DataFrame) -> DataFrame:
     return real.where(~F.coalesce(whole, F.lit(False))).select("trace_id")
 
 
-def recover_stream_ids(events: DataFrame) -> DataFrame:
+def recover_stream_ids(events: DataFrame, store: Store) -> DataFrame:
     """trace_id, place, direction, kind (object, header), recovered_id, certainty (certain, uncertain, unresolved) for the subgroup events of stock traces.
 
     events: trace_id, place, name, time_us, d (the keys of the data as text).
@@ -176,7 +178,7 @@ def recover_stream_ids(events: DataFrame) -> DataFrame:
         return out.assign(doubt=[*doubts, *swaps], chains=len(start))
 
     cut = todo.groupBy(*BUCKET).applyInPandas(solve, "trace_id int, direction string, group_id long, subgroup_id long, kind string, place struct<block:long,line:long,part:int>, chain long, doubt boolean, chains long")
-    cut = cut.persist()  # read twice below
+    cut = store.keep(cut, "chains")
     # Chains are numbered through the buckets of a side.
     per = cut.groupBy(*BUCKET).agg(F.max("chains").alias("chains"))
     before = Window.partitionBy(*SIDE).orderBy("group_id", "subgroup_id").rowsBetween(Window.unboundedPreceding, -1)

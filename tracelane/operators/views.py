@@ -23,8 +23,21 @@ def _on(left: str, right: str, keys: list[str]) -> Column:
     return out
 
 
-def _quantile(x: str | Column, p: float) -> Column:
-    return F.percentile(x, p)
+#: Microseconds of a track that one task orders.
+SLICE_US = 10_000_000
+
+
+def _before(rows: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with `before`: value of the row before in the order within keys, by slices of the first of order, a time. Each slice gets the last row of the
+    slice before as its first, so a busy track is many tasks' work; only a row a slice is ordered by keys alone."""
+    cut = rows.withColumn("_slice", F.floor(F.col(order[0]) / SLICE_US)).withColumn("_lead", F.lit(False))
+    place = [*keys, "_slice"]
+    last = cut.groupBy(*place).agg(F.max(F.struct(*order, value)).alias("m"))
+    last = last.withColumn("_slice", F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))).where("_slice IS NOT NULL")
+    leads = last.select(*place, *[F.col(f"m.{c}").alias(c) for c in [*order, value]], F.lit(True).alias("_lead"))
+    both = cut.unionByName(leads, allowMissingColumns=True)
+    w = Window.partitionBy(*place).orderBy(F.col("_lead").desc(), *order)
+    return both.withColumn("before", F.lag(value).over(w)).where("NOT _lead").drop("_slice", "_lead")
 
 
 def wall(trace: DataFrame) -> DataFrame:
@@ -97,12 +110,12 @@ def dwells(obj: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def legs(obj: DataFrame, t: Tables) -> DataFrame:
+def legs(dwell: DataFrame, hop: DataFrame, trace: DataFrame) -> DataFrame:
     """The legs of whole paths: into the relay, through it, and out. A connection whose client log is loaded must have the object at both
     ends; held objects are left out. Each path is read once and unrolled."""
-    hop = hops(obj, t.trace).select("cid", *OBJECT_KEY, "t_send", "t_recv", "us", "payload_length")
-    clients = t.trace.where("vantage_point = 'client'").select("cid").distinct()
-    d = dwells(obj, t).where("NOT held").alias("d")
+    hop = hop.select("cid", *OBJECT_KEY, "t_send", "t_recv", "us", "payload_length")
+    clients = trace.where("vantage_point = 'client'").select("cid").distinct()
+    d = dwell.where("NOT held").alias("d")
     for side, leg in (("in_cid", "a"), ("out_cid", "b")):
         h, far = hop.alias(f"h{leg}"), clients.select(F.col("cid").alias(f"far_{leg}"))
         d = d.join(h, (F.col(f"d.{side}") == F.col(f"h{leg}.cid")) & _on("d", f"h{leg}", OBJECT_KEY), "left")
@@ -125,9 +138,8 @@ def leg_summary(leg: DataFrame) -> DataFrame:
 
 def jitter(leg: DataFrame) -> DataFrame:
     """The change in transit time from each object to the next of its track, as RFC 3550 defines D, and its size."""
-    w = Window.partitionBy("sub_cid", "leg_no", "track_namespace", "track_name").orderBy("t_end", "group_id", "subgroup_id", "object_id")
-    d = leg.withColumn("d_us", F.col("us") - F.lag("us").over(w))
-    return d.select("sub_cid", "leg_no", "leg", *OBJECT_KEY, "t_end", "payload_length", "d_us", F.abs("d_us").alias("jitter_us"))
+    d = _before(leg, "us", ["sub_cid", "leg_no", "track_namespace", "track_name"], ["t_end", "group_id", "subgroup_id", "object_id"])
+    return d.withColumn("d_us", F.col("us") - F.col("before")).select("sub_cid", "leg_no", "leg", *OBJECT_KEY, "t_end", "payload_length", "d_us", F.abs("d_us").alias("jitter_us"))
 
 
 def jitter_summary(jit: DataFrame) -> DataFrame:
@@ -158,9 +170,8 @@ def relay_series(leg: DataFrame, jit: DataFrame, obj: DataFrame) -> DataFrame:
 
 def interarrival(obj: DataFrame, trace: DataFrame) -> DataFrame:
     """Time from each received object of a track to the next at the same end; objects of one time follow their key."""
-    w = Window.partitionBy("trace_id", "track_namespace", "track_name").orderBy("time_us", "group_id", "subgroup_id", "object_id")
-    rows = obj.where("direction = 'parsed'").withColumn("us", F.col("wall_us") - F.lag("wall_us").over(w))
-    return rows.join(trace.select("trace_id", "cid", "vantage_point"), "trace_id").select("cid", "trace_id", "vantage_point", *OBJECT_KEY, "wall_us", "payload_length", "us")
+    rows = _before(obj.where("direction = 'parsed'"), "wall_us", ["trace_id", "track_namespace", "track_name"], ["time_us", "group_id", "subgroup_id", "object_id"])
+    return rows.withColumn("us", F.col("wall_us") - F.col("before")).join(trace.select("trace_id", "cid", "vantage_point"), "trace_id").select("cid", "trace_id", "vantage_point", *OBJECT_KEY, "wall_us", "payload_length", "us")
 
 
 def object_bitrate(obj: DataFrame, trace: DataFrame) -> DataFrame:
@@ -199,9 +210,8 @@ def object_bitrate_summary(series: DataFrame) -> DataFrame:
     )
 
 
-def trust(obj: DataFrame, trace: DataFrame) -> DataFrame:
+def trust(obj: DataFrame, hop: DataFrame, trace: DataFrame) -> DataFrame:
     """Per connection with objects: what was sent, received, joined, lost within the window of joined sends, and outside of it."""
-    hop = hops(obj, trace)
     window = hop.groupBy("cid").agg(
         F.min("t_send").alias("first_send"), F.max("t_send").alias("last_send"), F.count("*").alias("w_joined"), F.count("us").alias("timed"), F.count(F.when(F.col("us") < 0, 1)).alias("negative"),
     )
@@ -239,33 +249,52 @@ def recovery(t: Tables) -> DataFrame:
     return t.trace.join(c, "trace_id", "left").select("cid", "filename", "vantage_point", "stream_id_source", "stream_id_uncertain", "stream_id_unresolved", "reference_time_source", "clock_matched", "clock_near_floor")
 
 
-def distribution_sample(obj: DataFrame, leg: DataFrame, series: DataFrame, trace: DataFrame) -> DataFrame:
-    """Samples of the four measures, of each track and of all. If any client received an object, interarrival and bitrate are the clients'; else
-    the relay's."""
+def _samples(obj: DataFrame, leg: DataFrame, gap: DataFrame, series: DataFrame, trace: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples of the three times, by track, and of the rates, by track and of all. If any client received an object, interarrival and bitrate are the clients';
+    else the relay's."""
     clients = obj.where("direction = 'parsed'").join(trace.where("vantage_point = 'client'").select("trace_id"), "trace_id", "left_semi")
     at = clients.limit(1).agg(F.when(F.count("*") > 0, "subscriber").otherwise("relay").alias("at"))
     whole = leg.groupBy("sub_cid", *OBJECT_KEY).agg(F.count("*").alias("n"), F.sum("us").alias("us")).where("n = 3")
-    ms = (F.col("us") / 1000).alias("value")
     track = ["track_namespace", "track_name"]
-    latency = whole.select(F.lit("end to end").alias("measure"), F.lit("subscriber").alias("measured_at"), *track, ms)
-    latency = latency.unionByName(leg.where("leg_no = 2").select(F.lit("relay dwell").alias("measure"), F.lit("relay").alias("measured_at"), *track, ms))
-    gaps = interarrival(obj, trace).where("us IS NOT NULL AND track_name IS NOT NULL").crossJoin(at).where(F.col("vantage_point") == F.when(F.col("at") == "subscriber", "client").otherwise("server"))
-    latency = latency.unionByName(gaps.select(F.lit("interarrival").alias("measure"), F.col("at").alias("measured_at"), *track, ms))
-    scope = F.explode(F.array(F.lit("track"), F.lit("all")))
-    both = latency.withColumn("scope", scope).select("measure", F.lit("ms").alias("unit"), "measured_at", "scope", *[F.when(F.col("scope") == "track", F.col(c)).alias(c) for c in track], "value")
+    ms = (F.col("us") / 1000).alias("value")
+    times = whole.select(F.lit("end to end").alias("measure"), F.lit("subscriber").alias("measured_at"), *track, ms)
+    times = times.unionByName(leg.where("leg_no = 2").select(F.lit("relay dwell").alias("measure"), F.lit("relay").alias("measured_at"), *track, ms))
+    gaps = gap.where("us IS NOT NULL AND track_name IS NOT NULL").crossJoin(at).where(F.col("vantage_point") == F.when(F.col("at") == "subscriber", "client").otherwise("server"))
+    times = times.unionByName(gaps.select(F.lit("interarrival").alias("measure"), F.col("at").alias("measured_at"), *track, ms))
     rates = _with_ends(series.crossJoin(at).where("(at = 'subscriber' AND vantage_point = 'client' AND direction = 'parsed') OR (at = 'relay' AND vantage_point = 'server' AND direction = 'created')"))
     rates = rates.where("inside AND (scope = 'all' OR track_name IS NOT NULL)")
-    return both.unionByName(rates.select(F.lit("bitrate").alias("measure"), F.lit("kbit/s").alias("unit"), F.col("at").alias("measured_at"), "scope", *track, F.col("kbit_s").alias("value")))
+    return times, rates.select(F.lit("bitrate").alias("measure"), F.lit("kbit/s").alias("unit"), F.col("at").alias("measured_at"), "scope", *track, F.col("kbit_s").alias("value"))
+
+
+def _scoped(times: DataFrame, *more: str) -> DataFrame:
+    """times of each track and of all."""
+    both = times.withColumn("scope", F.explode(F.array(F.lit("track"), F.lit("all"))))
+    return both.select("measure", F.lit("ms").alias("unit"), "measured_at", "scope", *[F.when(F.col("scope") == "track", F.col(c)).alias(c) for c in ("track_namespace", "track_name")], "value", *more)
+
+
+def distribution_sample(*frames: DataFrame) -> DataFrame:
+    """Samples of the four measures, of each track and of all."""
+    times, rates = _samples(*frames)
+    return _scoped(times).unionByName(rates)
+
+
+def counted_sample(*frames: DataFrame) -> DataFrame:
+    """distribution_sample() with a row a value and n, how often it occurs: counted by track before it is counted for all."""
+    times, rates = _samples(*frames)
+    times = times.groupBy(*times.columns).agg(F.count("*").alias("n"))
+    counted = _scoped(times, "n").unionByName(rates.withColumn("n", F.lit(1).cast("long")))
+    return counted.groupBy(*[c for c in counted.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def distribution_summary(sample: DataFrame) -> DataFrame:
+    """sample: counted."""
     keys = ["measure", "unit", "measured_at", "scope", "track_namespace", "track_name"]
-    q = sample.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", [0.01, 0.05, 0.5, 0.95, 0.99]).alias("q"))
+    q = sample.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", [0.01, 0.05, 0.5, 0.95, 0.99], F.col("n")).alias("q"))
     return q.select(*keys, "n", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("p1", "p5", "p50", "p95", "p99"))], "max")
 
 
 def distribution_bin(sample: DataFrame, summary: DataFrame) -> DataFrame:
-    """Histograms in bins of 1, 2 or 5 times a power of ten, at most about 20 up to the 99th percentile; the last reaches to the largest sample."""
+    """Histograms of a counted sample in bins of 1, 2 or 5 times a power of ten, at most about 20 up to the 99th percentile; the last reaches to the largest sample."""
     raw = F.coalesce(F.nullif(F.col("p99") - F.col("min"), F.lit(0.0)), F.col("max") - F.col("min")) / 20
     power = F.pow(F.lit(10.0), F.floor(F.log10("raw")))
     part = F.col("raw") / power
@@ -277,7 +306,7 @@ def distribution_bin(sample: DataFrame, summary: DataFrame) -> DataFrame:
     e = e.select(*keys, "min", "max", "width", "first_edge", "last_edge")
     same = lambda a, b, cols: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in cols))
     bin_of = F.coalesce(F.least(F.floor(F.col("s.value") / F.col("e.width")), F.col("e.last_edge")) - F.col("e.first_edge"), F.lit(0)).cast("long")
-    counted = sample.alias("s").join(e.alias("e"), same("s", "e", keys)).groupBy(*[F.col(f"e.{k}").alias(k) for k in keys], bin_of.alias("bin")).agg(F.count("*").alias("count"))
+    counted = sample.alias("s").join(e.alias("e"), same("s", "e", keys)).groupBy(*[F.col(f"e.{k}").alias(k) for k in keys], bin_of.alias("bin")).agg(F.sum("s.n").alias("count"))
     bins = e.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("last_edge") - F.col("first_edge")).cast("long"))))
     met = bins.alias("b").join(counted.alias("c"), same("b", "c", [*keys, "bin"]), "left")
     lo = F.when(F.col("b.bin") == 0, F.col("min")).otherwise((F.col("first_edge") + F.col("b.bin")) * F.col("width"))

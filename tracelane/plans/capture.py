@@ -13,6 +13,7 @@ from tracelane.plans.schema import LEGS, Tables
 from tracelane.sources.errors import CaptureError
 from tracelane.sources.load import load_tables
 from tracelane.sources.mlog import TraceSource
+from tracelane.sources.store import Store
 
 
 @dataclass(frozen=True)
@@ -86,22 +87,23 @@ def validate_rows(query: str, spec: dict[str, Col], rows: list[dict]) -> list[di
 
 
 class Capture:
-    """Queries over tables. Each measure is a lazy frame; what several of them read (objects, legs, samples) is kept until close()."""
+    """Queries over tables. Each measure is a lazy frame; what several of them read (objects, hops, legs, jitter, gaps, samples) is written once, at its first
+    use. close() deletes all that was written; the frames are of no use then."""
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, store: Store | None = None):
         self.tables = tables
-        self._kept: list[DataFrame] = []
+        self._store = store
         self._distributions: tuple[list[dict], list[dict]] | None = None
 
-    def _keep(self, frame: DataFrame) -> DataFrame:
-        self._kept.append(frame.persist())
-        return self._kept[-1]
+    def _keep(self, frame: DataFrame, name: str) -> DataFrame:
+        self._store = self._store or Store(frame.sparkSession)
+        return self._store.keep(frame, name)
 
     def close(self) -> None:
-        for frame in self._kept:
-            frame.unpersist()
-        self._kept.clear()
-        for name in ("object", "leg", "distribution_sample"):
+        if self._store:
+            self._store.remove()
+        self._store = None
+        for name in ("object", "hop", "dwell", "leg", "jitter", "interarrival", "bitrate_series_frame", "counted_sample"):
             self.__dict__.pop(name, None)
 
     def __enter__(self) -> Capture:
@@ -112,40 +114,48 @@ class Capture:
 
     @cached_property
     def object(self) -> DataFrame:
-        return self._keep(views.objects(self.tables))
+        return self._keep(views.objects(self.tables), "object")
+
+    @cached_property
+    def hop(self) -> DataFrame:
+        return self._keep(views.hops(self.object, self.tables.trace), "hop")
+
+    @cached_property
+    def dwell(self) -> DataFrame:
+        return self._keep(views.dwells(self.object, self.tables), "dwell")
 
     @cached_property
     def leg(self) -> DataFrame:
-        return self._keep(views.legs(self.object, self.tables))
+        return self._keep(views.legs(self.dwell, self.hop, self.tables.trace), "leg")
 
     @cached_property
-    def distribution_sample(self) -> DataFrame:
-        return self._keep(views.distribution_sample(self.object, self.leg, self.bitrate_series_frame, self.tables.trace))
+    def jitter(self) -> DataFrame:
+        return self._keep(views.jitter(self.leg), "jitter")
 
-    @property
-    def hop(self) -> DataFrame:
-        return views.hops(self.object, self.tables.trace)
+    @cached_property
+    def interarrival(self) -> DataFrame:
+        return self._keep(views.interarrival(self.object, self.tables.trace), "interarrival")
 
-    @property
-    def dwell(self) -> DataFrame:
-        return views.dwells(self.object, self.tables)
+    @cached_property
+    def bitrate_series_frame(self) -> DataFrame:
+        return self._keep(views.object_bitrate_series(self.object_bitrate, self.object), "bitrate")
 
     @property
-    def jitter(self) -> DataFrame:
-        return views.jitter(self.leg)
+    def distribution_sample(self) -> DataFrame:
+        return views.distribution_sample(*self._sampled)
+
+    @cached_property
+    def counted_sample(self) -> DataFrame:
+        return self._keep(views.counted_sample(*self._sampled), "sample")
 
     @property
-    def interarrival(self) -> DataFrame:
-        return views.interarrival(self.object, self.tables.trace)
+    def _sampled(self) -> tuple[DataFrame, ...]:
+        return self.object, self.leg, self.interarrival, self.bitrate_series_frame, self.tables.trace
 
     @property
     def object_bitrate(self) -> DataFrame:
         return views.object_bitrate(self.object, self.tables.trace)
 
-    @property
-    def bitrate_series_frame(self) -> DataFrame:
-        return views.object_bitrate_series(self.object_bitrate, self.object)
-
     @property
     def event(self) -> DataFrame:
         return views.events(self.tables)
@@ -173,7 +183,7 @@ class Capture:
         return shaped("object_bitrate_summary", views.object_bitrate_summary(self.bitrate_series_frame))
 
     def trust(self) -> DataFrame:
-        return shaped("trust", views.trust(self.object, self.tables.trace))
+        return shaped("trust", views.trust(self.object, self.hop, self.tables.trace))
 
     def coverage(self) -> DataFrame:
         return shaped("coverage", views.coverage(self.object, self.tables.trace))
@@ -188,9 +198,9 @@ class Capture:
     def prepare_distributions(self, on_query=lambda name: None) -> None:
         """Runs the two queries behind distribution(), once; a run that fails is forgotten."""
         if self._distributions is None:
-            summary = views.distribution_summary(self.distribution_sample)
+            summary = views.distribution_summary(self.counted_sample)
             rows = []
-            for name, frame in (("distribution_summary", summary), ("distribution_bin", views.distribution_bin(self.distribution_sample, summary))):
+            for name, frame in (("distribution_summary", summary), ("distribution_bin", views.distribution_bin(self.counted_sample, summary))):
                 on_query(name)
                 rows.append(validate_rows(name, SPECS[name], [r.asDict() for r in shaped(name, frame).collect()]))  # a few rows a track
             self._distributions = (rows[0], rows[1])
@@ -212,4 +222,5 @@ def open_capture(spark: SparkSession, sources: list[TraceSource], into: Capture
     mean nothing beside another's, so a capture that is in use takes no more."""
     if into is not None:
         raise CaptureError("engine-used", "this capture already holds traces; open another one")
-    return Capture(clock.recover_clocks(load_tables(spark, sources, repair)))
+    store = Store(spark)
+    return Capture(clock.recover_clocks(load_tables(spark, sources, repair, store=store)), store)

@@ -6,13 +6,12 @@ The statements are plain SQL that reads the same everywhere; EPOCH stands for th
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelane.plans.schema import CLOCK_RECOVERY, Tables
 from tracelane.sources.load import census
+from tracelane.sources.store import scratch
 
 SPARK_EPOCH = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 
@@ -77,16 +76,6 @@ def demo_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**{name: spark.read.parquet(f"{_loaded[key]}/{name}") for name in Tables.__dataclass_fields__})
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, or under a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tracelane-')}"
-    return f"{base.rstrip('/')}/tracelane/{uuid.uuid4().hex}"
-
-
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The tables as the statements above make them. Tracks are derived from the control messages, as a load does."""
     from tracelane.sources.load import tracks

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tracelane.operators import audit, clock, report, views
 from tracelane.plans.capture import Capture
-from tracelane.plans.demo import as_mlog, demo_tables, scratch, without_clients, without_clocks
+from tracelane.plans.demo import as_mlog, demo_tables, without_clients, without_clocks
 from tracelane.plans.schema import OBJECT_KEY, Tables
 from tracelane.sources.load import load_tables
 from tracelane.sources.mlog import TraceSource
+from tracelane.sources.store import Store, scratch
 from tracelane.streaming.ingest import streamed_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,18 +25,30 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _query(f: Callable[[Capture], DataFrame], tables: Callable[[Tables], Tables] = lambda t: t, name: str | None = None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(f(_Lazy(tables(demo_tables(spark, sf_dir)))))
+_open: dict[tuple, Capture] = {}
 
-    QUERIES[name or f.__name__] = run
+
+def _capture(spark: SparkSession, sf_dir: str, tables: Callable[[Tables], Tables]) -> Capture:
+    """The capture of a session over these tables, opened once: what several measures read is written at its first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, tables)
+    if key not in _open:
+        _open[key] = Capture(tables(demo_tables(spark, sf_dir)))
+    return _open[key]
+
+
+def _whole(t: Tables) -> Tables:
+    return t
 
 
-class _Lazy(Capture):
-    """A capture that keeps nothing in memory: a query is one plan."""
+def _recovered(t: Tables) -> Tables:
+    return clock.recover_clocks(without_clocks(t))
 
-    def _keep(self, frame: DataFrame) -> DataFrame:
-        return frame
+
+def _query(f: Callable[[Capture], DataFrame], tables: Callable[[Tables], Tables] = _whole, name: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(f(_capture(spark, sf_dir, tables)))
+
+    QUERIES[name or f.__name__] = run
 
 
 def _measure(name: str):
@@ -114,7 +127,7 @@ def _(c):
 
 @_measure("trust")
 def _(c):
-    return views.trust(c.object, c.tables.trace)
+    return views.trust(c.object, c.hop, c.tables.trace)
 
 
 @_measure("coverage")
@@ -134,12 +147,12 @@ def _(c):
 
 @_measure("distribution_summary")
 def _(c):
-    return views.distribution_summary(c.distribution_sample)
+    return views.distribution_summary(c.counted_sample)
 
 
 @_measure("distribution_bin")
 def _(c):
-    sample = c.distribution_sample
+    sample = c.counted_sample
     return views.distribution_bin(sample, views.distribution_summary(sample))
 
 
@@ -190,17 +203,17 @@ def _(c):
 
 @_measure("delivery_totals")
 def _(c):
-    return report.delivery_totals(views.trust(c.object, c.tables.trace))
+    return report.delivery_totals(views.trust(c.object, c.hop, c.tables.trace))
 
 
 @_measure("clock_totals")
 def _(c):
-    return report.clock_totals(views.trust(c.object, c.tables.trace))
+    return report.clock_totals(views.trust(c.object, c.hop, c.tables.trace))
 
 
 @_measure("not_joined")
 def _(c):
-    return report.not_joined(views.trust(c.object, c.tables.trace))
+    return report.not_joined(views.trust(c.object, c.hop, c.tables.trace))
 
 
 def _relay(f, name):
@@ -208,13 +221,13 @@ def _relay(f, name):
 
 
 _relay(lambda c: views.leg_summary(c.leg), "relay_only_leg_summary")
-_relay(lambda c: views.trust(c.object, c.tables.trace), "relay_only_trust")
+_relay(lambda c: views.trust(c.object, c.hop, c.tables.trace), "relay_only_trust")
 _relay(lambda c: views.coverage(c.object, c.tables.trace), "relay_only_coverage")
-_relay(lambda c: views.distribution_summary(c.distribution_sample), "relay_only_distribution")
+_relay(lambda c: views.distribution_summary(c.counted_sample), "relay_only_distribution")
 
 _query(lambda c: clock.clock_recovery(c.object, c.tables.trace), without_clocks, "clock_recovery")
-_query(lambda c: c.dwell, lambda t: clock.recover_clocks(without_clocks(t)), "recovered_dwell")
-_query(lambda c: report.recovery_notice(views.recovery(c.tables)), lambda t: clock.recover_clocks(without_clocks(t)), "recovery_notice")
+_query(lambda c: c.dwell, _recovered, "recovered_dwell")
+_query(lambda c: report.recovery_notice(views.recovery(c.tables)), _recovered, "recovery_notice")
 
 
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,13 +242,12 @@ def _written(spark: SparkSession, t: Tables, bare: bool = False) -> list[TraceSo
     lines = as_mlog(t)
     if bare:
         lines = lines.withColumn("line", F.regexp_replace("line", '"stream_id":[0-9]+', '"stream_id":0'))
-    lines = lines.persist()
+    lines = Store(spark).keep(lines, "lines")
     for r in t.trace.select("filename", "cid").orderBy("trace_id").collect():
         at = f"{folder}/{r.filename}"
         lines.where(F.col("filename") == r.filename).coalesce(1).sortWithinPartitions("time_us").select("line").write.text(at)
         path = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(at).select("path").first().path
         sources.append(TraceSource(r.filename, r.cid, path))
-    lines.unpersist()
     return sources
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.functions.fingerprint import json_structure
+from tracelane.functions.fingerprint import json_structure, skeleton
 from tracelane.operators.streamids import is_stock, recover_stream_ids
 from tracelane.plans import schema as S
 from tracelane.sources.errors import CaptureError
 from tracelane.sources.mlog import TraceSource, check_records, events_of, first_per, read_records
+from tracelane.sources.store import Store
 
 
 def _unsigned(text: Column, most: int, kind: str = "long") -> Column:
@@ -69,13 +70,15 @@ def tracks(control: DataFrame) -> DataFrame:
 
 
 def census(events: DataFrame) -> DataFrame:
-    """How often each shape of data occurs in each trace, and the keys of it that no column takes."""
+    """How often each shape of data occurs in each trace, and the keys of it that no column takes. Events are counted by their skeleton; only one text of each goes
+    to Python."""
     lit = lambda keys: F.array(*[F.lit(k) for k in keys])
+    few = events.groupBy("trace_id", "name", skeleton("data").alias("skeleton")).agg(F.count("*").alias("n"), F.min("time_us").alias("first_time_us"), F.any_value("data").alias("data"))
     keys = F.json_object_keys("data")
     known = F.when(F.col("name").isin(*S.CONTROL_EVENTS), lit(S.CONTROL_KEYS)).when(F.col("name").isin(*S.HEADER_EVENTS), lit(S.HEADER_KEYS)).when(F.col("name").isin(*S.OBJECT_EVENTS), lit(S.OBJECT_KEYS)).otherwise(keys)
     unread = F.filter(keys, lambda k: ~F.array_contains(known, k))
-    per = events.select("trace_id", "name", "time_us", json_structure("data").alias("fingerprint"), unread.alias("unconsumed"))
-    return per.groupBy("trace_id", "name", "fingerprint").agg(F.count("*").alias("n"), F.min("time_us").alias("first_time_us"), F.first("unconsumed", True).alias("unconsumed"))
+    per = few.select("trace_id", "name", "n", "first_time_us", json_structure("data").alias("fingerprint"), unread.alias("unconsumed"))
+    return per.groupBy("trace_id", "name", "fingerprint").agg(F.sum("n").alias("n"), F.min("first_time_us").alias("first_time_us"), F.first("unconsumed", True).alias("unconsumed"))
 
 
 def merge_census(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -95,18 +98,21 @@ def guard(events: DataFrame, names: dict[int, str]) -> None:
 
 
 def check_keys(t: S.Tables, names: dict[int, str]) -> None:
+    """Raises for a stream or track that occurs twice and for a stream without an id. The keys of the other tables hold by how they are made: one trace a file, one row
+    a shape, one clock a trace."""
     for table, keys in (("subgroup_stream", ["trace_id", "stream_id"]), ("track", ["trace_id", "track_alias"])):
-        twice = getattr(t, table).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-        if twice:
-            raise CaptureError("load", f"duplicate key in {table}: {twice[0].asDict()}", trace=names[twice[0].trace_id])
+        bad = getattr(t, table).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).union(getattr(t, table).where(F.col(keys[1]).isNull()).select(*keys, F.lit(0).cast("long"))).limit(1).collect()
+        if bad:
+            wrong = "duplicate key" if bad[0].n > 1 and bad[0][keys[1]] is not None else f"NULL {keys[1]}"
+            raise CaptureError("load", f"{wrong} in {table}: {bad[0].asDict()}", trace=names[bad[0].trace_id])
 
 
-def _repaired(spark: SparkSession, records: DataFrame, events: DataFrame, trace: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _repaired(store: Store, events: DataFrame, trace: DataFrame) -> tuple[DataFrame, DataFrame]:
     """events with recovered ids and without those that got none, and trace rows that say so, for the stock traces."""
     stock = [r.trace_id for r in is_stock(events).collect()]  # at most one row a trace
     if not stock:
         return events, trace
-    found = recover_stream_ids(events.where(F.col("trace_id").isin(stock))).persist()
+    found = store.keep(recover_stream_ids(events.where(F.col("trace_id").isin(stock)), store), "stream-ids")
     stats = found.where("kind = 'object'").groupBy("trace_id").agg(F.count(F.when(F.col("certainty") == "uncertain", 1)).alias("u"), F.count(F.when(F.col("recovered_id").isNull(), 1)).alias("x"))
     j = events.join(found.select("trace_id", "place", "kind", "recovered_id"), ["trace_id", "place"], "left").where("kind IS NULL OR recovered_id IS NOT NULL")
     changed = j.withColumn("d", F.when(F.col("recovered_id").isNotNull(), F.col("d").withField("stream_id", F.col("recovered_id").cast("string"))).otherwise(F.col("d")))
@@ -115,22 +121,23 @@ def _repaired(spark: SparkSession, records: DataFrame, events: DataFrame, trace:
     t = t.withColumn("stream_id_source", F.when(hit, "recovered").otherwise(F.col("stream_id_source")))
     for c, s in (("stream_id_uncertain", "u"), ("stream_id_unresolved", "x")):
         t = t.withColumn(c, F.when(hit, F.coalesce(F.col(s), F.lit(0)).cast("int")).otherwise(F.col(c)))
-    return changed.select(*events.columns), t.select(*trace.columns)
+    return store.keep(changed.select(*events.columns), "events"), t.select(*trace.columns)
 
 
-def load_tables(spark: SparkSession, sources: list[TraceSource], repair: bool = True, check: bool = True) -> S.Tables:
+def load_tables(spark: SparkSession, sources: list[TraceSource], repair: bool = True, check: bool = True, store: Store | None = None) -> S.Tables:
     """The tables of the traces, numbered from 1 in the order given. repair: traces without stream ids get recovered ones; else they are refused.
-    Guards run first; nothing is handed out if one raises."""
+    Guards run first; nothing is handed out if one raises. Records are parsed once, into `store`, which the tables read from."""
     if not sources:
         raise CaptureError("load", "no traces")
-    records = read_records(spark, sources).persist()
+    store = store or Store(spark)
+    records = store.keep(read_records(spark, sources), "records")
     names = {i + 1: s.name for i, s in enumerate(sources)}
     try:
         if check:
             check_records(records, sources)
         events, trace = events_of(records), trace_rows(records)
         if repair:
-            events, trace = _repaired(spark, records, events, trace)
+            events, trace = _repaired(store, events, trace)
         if check:
             guard(events, names)
         control = control_rows(events)
@@ -142,5 +149,5 @@ def load_tables(spark: SparkSession, sources: list[TraceSource], repair: bool =
             check_keys(t, names)
         return t
     except CaptureError:
-        records.unpersist()
+        store.remove()
         raise
