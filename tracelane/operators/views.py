@@ -31,13 +31,19 @@ def _before(rows: DataFrame, value: str, keys: list[str], order: list[str]) -> D
     """rows with `before`: value of the row before in the order within keys, by slices of the first of order, a time. Each slice gets the last row of the
     slice before as its first, so a busy track is many tasks' work; only a row a slice is ordered by keys alone."""
     cut = rows.withColumn("_slice", F.floor(F.col(order[0]) / SLICE_US)).withColumn("_lead", F.lit(False))
-    place = [*keys, "_slice"]
+    cut = cut.withColumn("_hash", F.xxhash64(*keys, "_slice"))  # the first of what rows are sorted by: keys are much alike
+    place = ["_hash", *keys, "_slice"]
     last = cut.groupBy(*place).agg(F.max(F.struct(*order, value)).alias("m"))
-    last = last.withColumn("_slice", F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))).where("_slice IS NOT NULL")
+    last = last.withColumn("_slice", F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))).where("_slice IS NOT NULL").withColumn("_hash", F.xxhash64(*keys, "_slice"))
     leads = last.select(*place, *[F.col(f"m.{c}").alias(c) for c in [*order, value]], F.lit(True).alias("_lead"))
     both = cut.unionByName(leads, allowMissingColumns=True)
     w = Window.partitionBy(*place).orderBy(F.col("_lead").desc(), *order)
-    return both.withColumn("before", F.lag(value).over(w)).where("NOT _lead").drop("_slice", "_lead")
+    return both.withColumn("before", F.lag(value).over(w)).where("NOT _lead").drop("_slice", "_lead", "_hash")
+
+
+def _key_hash() -> Column:
+    """One number for an object's key. Joins sort by it first: the strings of a key are the same in most rows."""
+    return F.xxhash64(*OBJECT_KEY).alias("key_hash")
 
 
 def wall(trace: DataFrame) -> DataFrame:
@@ -69,9 +75,9 @@ def hops(obj: DataFrame, trace: DataFrame) -> DataFrame:
     """An object sent on a connection and the same object received at its other end. us is signed, and NULL unless both ends logged their
     clocks."""
     end = trace.where(F.col("cid").isNotNull()).select("trace_id", "cid", (F.col("reference_time_source") == "logged").alias("clock"))
-    rows = obj.select("trace_id", "direction", *OBJECT_KEY, "wall_us", "payload_length").join(end, "trace_id")
+    rows = obj.select("trace_id", "direction", _key_hash(), *OBJECT_KEY, "wall_us", "payload_length").join(end, "trace_id")
     s, r = rows.where("direction = 'created'").alias("s"), rows.where("direction = 'parsed'").alias("r")
-    both = s.join(r, _on("s", "r", ["cid", *OBJECT_KEY]) & (F.col("s.trace_id") != F.col("r.trace_id")))
+    both = s.join(r, _on("s", "r", ["key_hash", "cid", *OBJECT_KEY]) & (F.col("s.trace_id") != F.col("r.trace_id")))
     us = F.when(F.col("s.clock") & F.col("r.clock"), F.col("r.wall_us") - F.col("s.wall_us"))
     return both.select(
         "s.cid", *[f"s.{k}" for k in OBJECT_KEY], F.col("s.trace_id").alias("send_trace"), F.col("r.trace_id").alias("recv_trace"),
@@ -82,9 +88,9 @@ def hops(obj: DataFrame, trace: DataFrame) -> DataFrame:
 def relay_pairs(obj: DataFrame, trace: DataFrame) -> DataFrame:
     """An object that came into the relay and the same object as it left on another connection: in_*, out_* and the key."""
     server = trace.where("vantage_point = 'server'").select("trace_id", "cid", F.col("reference_time_source").alias("clock"))
-    rows = obj.select("trace_id", "direction", *OBJECT_KEY, "wall_us", "payload_length").join(server, "trace_id")
+    rows = obj.select("trace_id", "direction", _key_hash(), *OBJECT_KEY, "wall_us", "payload_length").join(server, "trace_id")
     i, o = rows.where("direction = 'parsed'").alias("i"), rows.where("direction = 'created'").alias("o")
-    both = i.join(o, _on("i", "o", OBJECT_KEY) & (F.col("i.trace_id") != F.col("o.trace_id")))
+    both = i.join(o, _on("i", "o", ["key_hash", *OBJECT_KEY]) & (F.col("i.trace_id") != F.col("o.trace_id")))
     side = [F.col(f"{a}.{c}").alias(f"{n}_{c}") for a, n in (("i", "in"), ("o", "out")) for c in ("trace_id", "cid", "clock", "wall_us")]
     return both.select(*[f"i.{k}" for k in OBJECT_KEY], *side, "i.payload_length")
 
@@ -113,12 +119,12 @@ def dwells(obj: DataFrame, t: Tables) -> DataFrame:
 def legs(dwell: DataFrame, hop: DataFrame, trace: DataFrame) -> DataFrame:
     """The legs of whole paths: into the relay, through it, and out. A connection whose client log is loaded must have the object at both
     ends; held objects are left out. Each path is read once and unrolled."""
-    hop = hop.select("cid", *OBJECT_KEY, "t_send", "t_recv", "us", "payload_length")
+    hop = hop.select("cid", _key_hash(), *OBJECT_KEY, "t_send", "t_recv", "us", "payload_length")
     clients = trace.where("vantage_point = 'client'").select("cid").distinct()
-    d = dwell.where("NOT held").alias("d")
+    d = dwell.where("NOT held").withColumn("key_hash", _key_hash()).alias("d")
     for side, leg in (("in_cid", "a"), ("out_cid", "b")):
         h, far = hop.alias(f"h{leg}"), clients.select(F.col("cid").alias(f"far_{leg}"))
-        d = d.join(h, (F.col(f"d.{side}") == F.col(f"h{leg}.cid")) & _on("d", f"h{leg}", OBJECT_KEY), "left")
+        d = d.join(h, _on("d", f"h{leg}", ["key_hash", *OBJECT_KEY]) & (F.col(f"d.{side}") == F.col(f"h{leg}.cid")), "left")
         d = d.join(far, F.col(f"d.{side}") == F.col(f"far_{leg}"), "left")
         d = d.where(F.col(f"h{leg}.cid").isNotNull() | F.col(f"far_{leg}").isNull())
 
@@ -220,8 +226,8 @@ def trust(obj: DataFrame, hop: DataFrame, trace: DataFrame) -> DataFrame:
     per = rows.groupBy("cid").agg(
         F.max(F.when(F.col("direction") == "created", F.col("vantage_point"))).alias("sender_is"), F.count(F.when(F.col("direction") == "created", 1)).alias("sent"), F.count(F.when(F.col("direction") == "parsed", 1)).alias("received"),
     )
-    known = hop.select("cid", *OBJECT_KEY).distinct()
-    alone = rows.select("cid", *OBJECT_KEY, "direction", "wall_us").join(known, ["cid", *OBJECT_KEY], "left_anti").join(window.select("cid", "first_send", "last_send"), "cid")
+    known = hop.select("cid", _key_hash(), *OBJECT_KEY)
+    alone = rows.select("cid", _key_hash(), *OBJECT_KEY, "direction", "wall_us").join(known, ["key_hash", "cid", *OBJECT_KEY], "left_anti").join(window.select("cid", "first_send", "last_send"), "cid")
     inside = F.col("wall_us").between(F.col("first_send"), F.col("last_send"))
     missed = alone.groupBy("cid").agg(F.count(F.when(inside & (F.col("direction") == "created"), 1)).alias("n_lost"), F.count(F.when(~inside, 1)).alias("n_outside"))
     j = per.join(window, "cid", "left").join(ends, "cid", "left").join(missed, "cid", "left")
