@@ -52,6 +52,22 @@ def test_mixing(spark, make):
     assert all(abs(words[s] - want[s]) <= 60 for s in want)
 
 
+def test_mixing_of_many_sources(spark, make):
+    """More sources than are broadcast, one of them hot, agree with the plan for few."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 9), f"s{rng.randrange(400)}" if i % 3 else "hot") for i in range(3000)]
+    few, many = (sorted(map(tuple, mixing.mix(make(rows), limit=n).collect())) for n in (10_000, 20))
+    assert few == many and len(few) == 3000
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, source, size, _, _, _, words in few:
+        sizes[source] += size
+        taken[source] += words
+    want = targets_of(dict(sizes))
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
+    again = lambda n: sorted(map(tuple, mixing.mixed(make(rows), limit=n).collect()))
+    assert again(10_000) == again(20)
+
+
 def test_mixing_odd_rows(spark, odd, make):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and {r["size"] for r in got if r.doc_id in (1, 2)} == {0}

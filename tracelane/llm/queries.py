@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelane.llm.common import documents
+from tracelane.llm.oracle import ORACLE_SQL
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -79,4 +80,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_spotsigs, op2_packing, op3_records, op4_neighbour_quality, op5_repeats, op6_secrets, op7_matroska, op8_mixing, op9_similarity_join, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
