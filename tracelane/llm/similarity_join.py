@@ -161,9 +161,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     kind = source.schema["id"].dataType.simpleString()
     made = source.mapInArrow(sketch, f"id {kind}, digest long, k1 long, k2 long, n long, bands array<long>, sig binary")
     prints = stage(made.withColumn("row", F.monotonically_increasing_id()), "join-prints")
-    heads = prints.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
-    members = stage(prints.select("row", "id", "digest", "k1", "k2").join(heads, ["k1", "k2"]).drop("k1", "k2"), "join-members")
-    reps = members.where("row = rep").select("rep", "id", "digest", "copies")
+    # Tables that hot keys are joined from are staged on both sides, so that adaptive execution may split them.
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    heads = prints.groupBy("k1", "k2").agg(F.min(F.struct("row", "id", "digest")).alias("rep"), F.count("*").alias("copies"), F.min(least).alias("least"))
+    heads = stage(heads.select("k1", "k2", F.col("rep.row").alias("rep"), F.col("rep.id").alias("id"), F.col("rep.digest").alias("digest"), "copies", "least"), "join-heads")
+    reps = heads.select("rep", "id", "digest", "copies")
 
     # Buckets of two representatives or more; of buckets with the same members, one.
     bands = prints.join(reps.select("rep"), F.col("row") == F.col("rep")).select("rep", F.explode("bands").alias("bucket"))
@@ -226,11 +228,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     checked = stage(paired.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long, links long"), "join-links")
     classes = components(checked, "join-classes").withColumnRenamed("node", "rep")
     links = checked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    out = members.join(classes, "rep", "left").join(links, "rep", "left")
-    out = out.select("row", "id", "copies", "digest", F.coalesce("component", "rep").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    lead = out.groupBy("class_row").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))).alias("lead"))
-    kept = (F.col("row") == F.col("lead.row")).alias("kept")
-    return out.join(lead, "class_row").select(F.col("id").alias(id_col), F.col("lead.id").alias("class_id"), "n_links", F.col("copies").alias("n_copies"), kept, "digest")
+    classed = heads.select("k1", "k2", "rep", "copies", "least").join(classes, "rep", "left").join(links, "rep", "left")
+    classed = classed.select("k1", "k2", "copies", "least", F.coalesce("component", "rep").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classed = stage(classed, "join-classed")
+    lead = stage(classed.groupBy("class_row").agg(F.min("least").alias("lead")), "join-leads")
+    known = stage(classed.join(lead, "class_row").select("k1", "k2", "copies", "n_links", "lead"), "join-known")
+    out = prints.select("row", "id", "digest", "k1", "k2").join(known, ["k1", "k2"])
+    return out.select(F.col("id").alias(id_col), F.col("lead.id").alias("class_id"), "n_links", F.col("copies").alias("n_copies"), (F.col("row") == F.col("lead.row")).alias("kept"), "digest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
