@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
+import regex
 from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -229,6 +231,60 @@ def test_pruned_jaccard(a, b, t):
         assert abs(spotsigs.length_partition(len(a)) - spotsigs.length_partition(len(b))) <= 1
 
 
+def plain_signatures(text, chain=2):
+    """Signatures as tuples of words."""
+    words = regex.sub(r"[^\pL\pN]+", " ", text).lower().split()
+    content = [w for w in words if w not in spotsigs.ANCHORS]
+    out, after = set(), []
+    for w in reversed(words):
+        if w not in spotsigs.ANCHORS:
+            after = [w, *after][:chain]
+        elif len(after) == chain:
+            out.add((w, *after))
+    if not out:
+        out = {("run", *content[k : k + chain]) for k in range(len(content) - chain + 1)} or {("word", w) for w in words} or {("text", text)}
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_spotsigs_equals_plain_words(spark):
+    """The likenesses of the query, on the whole of the smallest table, are those of sets of words."""
+    from tracelane.llm.queries import op1_spotsigs
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    order = sorted(docs, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    sets = {i: plain_signatures(t) for i, t in docs.items()}
+    got = {r.doc_id: r for r in op1_spotsigs(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        changed = plain_signatures(spotsigs.edited(docs[i], docs[after[i]]))
+        assert (r.n_chars, r.n_signatures) == (len(docs[i]), len(sets[i])) == (r.n_chars, len(spotsigs.decoded(r.fingerprint)))
+        assert abs(r.near_edited - likeness(sets[i], changed)) < 1e-9 and abs(r.near_next - likeness(sets[i], sets[after[i]])) < 1e-9
+        assert (r.alike_edited, r.alike_next) == (r.near_edited >= 0.8 - 1e-9, r.near_next >= 0.8 - 1e-9)
+
+
+def test_next_of_many_ranges(spark, make):
+    """Each row is followed by the next one in whatever ranges ids fall into."""
+    rows = [(i * 7 % 1000, f"the {i} text of") for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(make(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    text = dict(rows)
+    order = sorted(text, reverse=True)
+    assert got == {i: hashlib.sha256(spotsigs.edited(text[i], text[j]).encode()).hexdigest() for i, j in zip(order, order[1:] + order[:1])}
+
+
+def test_spotsigs_classes_of_odd_rows(spark, odd, make):
+    got = spotsigs.near_classes(odd).collect()
+    assert len(got) == len(ODD) and {r.class_id for r in got if r.doc_id in (1, 2)} == {1}  # null and empty are equal; white space alone is not
+    assert {r.class_id for r in got if r.doc_id == 7} == {7} and sum(r.doc_id is None for r in got) == 1
+    assert spotsigs.near_classes(make([])).count() == 0
+
+
 def test_spotsigs_matches(spark, make):
     """Classes of near-equal fingerprints equal brute force over all pairs."""
     rows = near_texts()

@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm.common import partitions, texts
@@ -96,6 +96,11 @@ def signatures(bodies: list[str], chain: int = CHAIN) -> list[np.ndarray]:
     return out
 
 
+def alike(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether two fingerprints reach the threshold: never from length partitions that aren't the same or adjacent; else by pruned_jaccard()."""
+    return abs(length_partition(len(a), threshold) - length_partition(len(b), threshold)) < 2 and pruned_jaccard(a, b, threshold) >= threshold - 1e-9
+
+
 def encoded(sigs: np.ndarray) -> str:
     """The fingerprint as text: its signatures in order, 4 bytes each, in base 64."""
     return base64.b64encode(sigs.tobytes()).decode()
@@ -105,6 +110,15 @@ def decoded(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
+def _cuts_above(column: str, cuts: list[int]) -> Column:
+    """How many of the cuts, which fall, are above the column: by halving steps over one constant."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when(F.try_element_at(table, at + step) > F.col(column), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """bucket, copy, id, tie, text: rows so dealt and sorted that each is followed in its partition by the next one in descending order
     of id (ties by the hash of the text, null ids last, after the last the first). Buckets are ranges of ids; the first row of
@@ -115,7 +129,7 @@ def with_next(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     rows = texts(docs, id_col, text=text).select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("tie"), "text")
     cuts = rows.agg(F.percentile_approx("id", [i / (2 * n) for i in range(1, 2 * n)], 20 * n).alias("cuts")).first().cuts or []
     cuts = sorted(set(cuts), reverse=True)
-    bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: F.col("id") < c)))
+    bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(_cuts_above("id", cuts))
     dealt = rows.withColumn("bucket", bucket.cast("int"))
     first = dealt.groupBy("bucket").agg(F.max(F.struct(F.coalesce("id", F.lit(0)).alias("id"), "tie")).alias("m")).orderBy("bucket").collect()
     heads = [(r.bucket, r.m.id, r.m.tie, first[i - 1].bucket) for i, r in enumerate(first)]
@@ -135,11 +149,11 @@ def edited(body: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: its id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_partition.
+    """Per row of docs: its id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_partition, alike_edited, alike_next.
 
     near_*: Jaccard similarity of the row's fingerprint with that of its edited text (edited() with the next text) and with the next row's
-    own. Null texts are empty; an empty text's fingerprint is that of nothing and is like itself alone. Rows of one id follow each
-    other by the hash of their texts; a null id comes last; in a table of one row it is its own next; an empty table gives an empty one;
+    own; alike_*: alike() of the same two, by length partitions and pruning. Null texts are empty; an empty text's fingerprint is that of nothing and is like itself alone. Rows of one id follow each
+    other by the hash of their texts; a null id comes last; ids are integers, or text that is one; in a table of one row it is its own next; an empty table gives an empty one;
     columns not named are not read.
     """
 
@@ -153,21 +167,21 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN, id_col: str = "doc_id", te
                 pending = pending[-1:]
 
     def judge(rows):
-        out = [[] for _ in range(9)]
+        out = [[] for _ in range(11)]
         sets = signatures([r[3] for r in rows], chain)
         mine = [k for k in range(len(rows) - 1) if not rows[k][1]]
         changed = [edited(rows[k][3], rows[k + 1][3]) for k in mine]
         for k, other, after in zip(mine, changed, signatures(changed, chain)):
             own = sets[k]
-            values = (rows[k][2], len(rows[k][3]), hashlib.sha256(other.encode()).hexdigest(), encoded(own), encoded(after), pruned_jaccard(own, after), pruned_jaccard(own, sets[k + 1]), len(own), length_partition(len(own)))
+            values = (rows[k][2], len(rows[k][3]), hashlib.sha256(other.encode()).hexdigest(), encoded(own), encoded(after), pruned_jaccard(own, after), pruned_jaccard(own, sets[k + 1]), len(own), length_partition(len(own)), alike(own, after), alike(own, sets[k + 1]))
             for column, value in zip(out, values):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
-        names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "length_partition"]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+        names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "length_partition", "alike_edited", "alike_next"]
         if mine:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    out = with_next(docs, id_col, text).select("bucket", "copy", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int")
+    out = with_next(docs, id_col, text).select("bucket", "copy", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int, alike_edited boolean, alike_next boolean")
     return out.withColumnRenamed("id", id_col)
 
 
