@@ -21,6 +21,8 @@ PER_LABEL = 2048
 RANK, NEIGHBOURS = 64, 25
 GRAMS, SHAPES, LEVELS = 2048, 512, 24
 TERMS = GRAMS + SHAPES + 2 * LEVELS
+#: Texts that are compared with the sample at a time.
+BLOCK = 512
 #: A text is accepted from this score on.
 ACCEPT = 0.7
 
@@ -81,14 +83,20 @@ class Model:
         return (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
 
     def score(self, x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        v = self._place(self._weigh(x) - self.mean)
-        out = np.empty(len(v))
+        """Texts go in blocks of BLOCK, the last filled up with zeros, so that products don't depend on how rows are batched. Of neighbours equally near the
+        first in the sample count."""
+        out = np.empty(len(x))
         k = min(k, len(self.vectors))
-        for at in range(0, len(v), 512):
-            cos = v[at : at + 512] @ self.vectors.T
-            near = np.argpartition(cos, -k, axis=1)[:, -k:]
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK]
+            full = np.zeros((BLOCK, x.shape[1]), np.float32)
+            full[: len(part)] = part
+            cos = (self._place(self._weigh(full) - self.mean) @ self.vectors.T)[: len(part)]
+            last = np.partition(cos, -k, axis=1)[:, -k, None]
+            above, level = cos > last, cos == last
+            near = np.nonzero(above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))))[1].reshape(len(part), k)
             vote = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6) ** 4 * self.weight[near]
-            out[at : at + 512] = (vote * self.good[near]).sum(axis=1) / vote.sum(axis=1)
+            out[at : at + BLOCK] = (vote * self.good[near]).sum(axis=1) / vote.sum(axis=1)
         return np.round(np.clip(out, 0, 1), 6)
 
 
@@ -117,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
 
     met = texts(docs, id_col, text=text).join(F.broadcast(sample), F.col(id_col) == F.col("of")).select("of", "y", "text")
     kind = met.schema["of"].dataType.simpleString()
-    rows = met.mapInArrow(read, f"of {kind}, y int, x binary").dropDuplicates(["of"]).collect()  # at most 2 * per_label
+    # Of several rows of an id the one of the least terms, so that reruns agree. At most 2 * per_label rows.
+    rows = met.mapInArrow(read, f"of {kind}, y int, x binary").groupBy("of").agg(F.min(F.struct("x", "y")).alias("m")).select("of", "m.x", "m.y").collect()
     rows.sort(key=lambda r: r.of)
     if len({r.y for r in rows}) < 2:
         return None
@@ -128,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", accept: float = ACCEPT, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
     """Per row of docs: its id, the columns in carry, held_out, score (0 to 1), predicted (1 if score >= accept).
 
-    Null texts are empty and are scored as such. Rows of one id are scored each; where the labelled sample meets several, one of them
-    counts. Without labels of both kinds to learn from, every score is 1: nothing is known against a text. An empty table gives an
+    Null texts are empty and are scored as such. Rows of one id are scored each; where the labelled sample meets several, the one of the least
+    terms counts. Without labels of both kinds to learn from, every score is 1: nothing is known against a text. An empty table gives an
     empty one; columns not named are not read. The model alone is broadcast, of a size that per_label bounds; no shuffle.
     """
     spark = docs.sparkSession
@@ -137,8 +146,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", accept:
 
     def score(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
                 m = model.value
                 s = m.score(terms(part.column("text").to_pylist())) if m else np.ones(part.num_rows)
                 kept = [part.column(k) for k in range(part.num_columns - 1)]
