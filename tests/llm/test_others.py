@@ -158,6 +158,9 @@ def test_matroska_parsing():
     assert len(m.packets) == 2 * (4 + 4 + 3) and m.clusters[0] == m.cues[0][2] == len(tracks) and set(m.tracks) == {1, 2}
     assert [data[p[2] : p[2] + p[3]] for p in m.packets[:8]] == frames * 2
     assert [p[1] for p in m.packets[:11]] == [995] * 4 + [1007] * 4 + [1009] * 3
+    entry = mk.element(mk.TRACK_ENTRY, mk.element(mk.TRACK_NUMBER, 1) + mk.element(mk.DEFAULT_DURATION, 20_000_000))
+    timed = mk.parse(mk.element(mk.EBML, mk.element(mk.DOC_TYPE, "matroska")) + mk.SEGMENT.to_bytes(4) + b"\x01" + b"\xff" * 7 + mk.element(mk.TRACKS, entry) + unknown)
+    assert [p[1] for p in timed.packets] == [995, 1015, 1035, 1055] + [1007] * 4 + [1009, 1029, 1049]
     for cut in (5, 40, len(data) // 2):
         with pytest.raises((ValueError, IndexError, struct.error)):
             mk.parse(b"\0" + data[:cut])
@@ -177,6 +180,24 @@ def labelled(n=240, seed=0):
     return rows, labels
 
 
+def test_votes_equal_brute_force():
+    """The nearest by cosine vote, of equally near ones the first in the sample, however texts are batched."""
+    rows, labels = labelled(150)
+    bodies = [t for _, t in rows] + [rows[3][1]] * 40  # more copies than neighbours
+    x, y = neighbours.terms(bodies), np.array([q for _, q, _ in labels] + [0] * 20 + [1] * 20)
+    model = neighbours.Model(x, y, 0.6, rank=16)
+    some = neighbours.terms([rows[3][1], "", "WORD!! WORD!!", *[t for _, t in rows[:30]]])
+    got = model.score(some, k=25)
+    place = model._place(model._weigh(np.vstack([some, np.zeros((neighbours.BLOCK - len(some), some.shape[1]), np.float32)])) - model.mean)
+    for v, score in zip(place, got):
+        cos = model.vectors @ v
+        cos = {i: float(c) for i, c in enumerate(cos)}
+        near = sorted(cos, key=lambda i: (-round(cos[i], 5), i))[:25]
+        votes = [(max(cos[i], 1e-6) ** 4 * float(model.weight[i]), bool(y[i])) for i in near]
+        assert abs(score - sum(w for w, good in votes if good) / sum(w for w, _ in votes)) < 2e-4
+    assert all(model.score(some[i : i + 1], k=25)[0] == got[i] for i in range(len(some)))
+
+
 def test_neighbours(spark, make, odd):
     rows, labels = labelled()
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -189,6 +210,8 @@ def test_neighbours(spark, make, odd):
     flipped = spark.createDataFrame([(i, 1 - q if i in held else q, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
     again = {r.doc_id: r.score for r in neighbours.classify(make(rows, 5), flipped).collect()}
     assert again.keys() == got.keys() and all(abs(again[i] - r.score) < 1e-5 for i, r in got.items())
-    assert neighbours.classify(odd, table).count() == len(ODD)
+    strange = neighbours.classify(odd, table).collect()
+    empty = neighbours.classify(make([(1, "")]), table).first().score
+    assert len(strange) == len(ODD) and {r.score for r in strange if r.doc_id in (1, 2)} == {empty} and all(0 <= r.score <= 1 for r in strange)
     none = neighbours.classify(make(rows[:3]), table.limit(0)).collect()
     assert {r.score for r in none} == {1.0} and neighbours.classify(make([]), table).count() == 0

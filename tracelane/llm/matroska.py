@@ -137,8 +137,10 @@ def _block(data, at: int, end: int, base: int, cluster: int, media: Media, simpl
             sizes.append(end - at - sum(sizes))
     if min(sizes) < 0:
         raise ValueError(f"lacing passes the end of the block at byte {at}")
-    for n in sizes:
-        media.packets.append((track, base + relative, at, n, lacing, bool(flags & 0x80) if simple else None, cluster))
+    # The block's time is its first frame's; the others follow by the track's duration of a frame, if it has one.
+    each = media.tracks.get(track, {}).get(DEFAULT_DURATION, 0)
+    for k, n in enumerate(sizes):
+        media.packets.append((track, base + relative + k * each // media.scale, at, n, lacing, bool(flags & 0x80) if simple else None, cluster))
         at += n
 
 
