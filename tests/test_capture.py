@@ -247,3 +247,24 @@ def test_pick_files():
     good, bad = pick_files(["/x/b_client.mlog", "/x/a_b_server.mlog.gz", "/x/a_b_server.mlog", "/x/readme.md"])
     assert [(s.name, s.cid) for s in good] == [("a_b_server.mlog", "a_b"), ("b_client.mlog", "b")] and [b[0] for b in bad] == ["a_b_server.mlog.gz", "readme.md"]
     assert plain_size(b"....\x10\x00\x00\x00") == 16
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """A folder's logs are loaded to tables, and a query's rows come as CSV; a folder without logs is an error."""
+    import gzip
+
+    from tracelane.__main__ import main
+    from tracelane.sources.mlog import pick_directory
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    plain = write(tmp_path, "a_b_client.mlog", base())
+    (folder / "a_b_client.mlog.gz").write_bytes(gzip.compress(open(plain.path, "rb").read()))
+    (folder / "other.txt").write_text("")
+    assert [(s.name, s.cid) for s in pick_directory(str(folder))] == [("a_b_client.mlog", "a")]
+    assert main(["load", str(tmp_path / "out"), str(folder)]) == 0
+    assert capsys.readouterr().out == "1 objects\n" and spark.read.parquet(str(tmp_path / "out" / "subgroup_stream")).count() == 1
+    assert main(["query", "coverage", str(folder)]) == 0
+    assert capsys.readouterr().out.splitlines() == ["cid,client_traces,server_traces,sender", "a,1,0,server"]
+    (tmp_path / "none").mkdir()
+    assert main(["query", "coverage", str(tmp_path / "none")]) == 1

@@ -86,13 +86,12 @@ def merge_census(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.sum("n").alias("n"), F.min("first_time_us").alias("first_time_us"), F.first("unconsumed", True).alias("unconsumed"))
 
 
-def guard(events: DataFrame, names: dict[int, str]) -> None:
-    """Refuses traces whose headers share one stream id, and streams that carry headers of both directions."""
-    heads = events.where(F.col("name").isin(*S.HEADER_EVENTS)).select("trace_id", F.col("d.stream_id").alias("stream_id"), "name")
-    one = heads.groupBy("trace_id").agg(F.count("*").alias("n"), F.count_distinct("stream_id").alias("ids")).where("n > 1 AND ids = 1").limit(1).collect()
+def guard(streams: DataFrame, names: dict[int, str]) -> None:
+    """Refuses traces whose streams (trace_id, stream_id, direction; one for each header) share one id, and ids of streams of both directions."""
+    one = streams.groupBy("trace_id").agg(F.count("*").alias("n"), F.count_distinct("stream_id").alias("ids")).where("n > 1 AND ids = 1").limit(1).collect()
     if one:
         raise CaptureError("load", "unsupported capture: every subgroup header carries the same stream_id (stock relays write 0 for all). Record with a relay build that plumbs real QUIC stream ids.", trace=names[one[0].trace_id])
-    two = heads.groupBy("trace_id", "stream_id").agg(F.count_distinct("name").alias("n")).where("n > 1").limit(1).collect()
+    two = streams.groupBy("trace_id", "stream_id").agg(F.count_distinct("direction").alias("n")).where("n > 1").limit(1).collect()
     if two:
         raise CaptureError("load", f"unsupported capture: stream_id {two[0].stream_id} carries both a sent and a received subgroup header, so the stream cannot be attributed to one end. Expected disjoint QUIC stream id spaces.", trace=names[two[0].trace_id])
 
@@ -139,7 +138,7 @@ def load_tables(spark: SparkSession, sources: list[TraceSource], repair: bool =
         if repair:
             events, trace = _repaired(store, events, trace)
         if check:
-            guard(events, names)
+            guard(stream_rows(events), names)
         control = control_rows(events)
         t = S.Tables(
             trace=trace, control_message=control, subgroup_stream=stream_rows(events).sortWithinPartitions("time_us"), subgroup_object=object_rows(events).sortWithinPartitions("time_us"), event_other=other_rows(events),

@@ -45,6 +45,31 @@ def pick_files(paths: list[str]) -> tuple[list[TraceSource], list[tuple[str, str
     return list(accepted.values()), rejected
 
 
+def pick_directory(folder: str) -> list[TraceSource]:
+    """Every *.mlog.gz of a folder by name; the connection id is what stands before the first underscore."""
+    files = sorted(f for f in os.listdir(folder) if f.endswith(".mlog.gz"))
+    if not files:
+        raise CaptureError("load", f"no *.mlog.gz in {folder}")
+    return [TraceSource(f.removesuffix(".gz"), f.split("_")[0], os.path.join(folder, f)) for f in files]
+
+
+def record_chunks(pieces, target: int = 4 << 20):
+    """Yields pieces of bytes joined to chunks of whole records: each ends with a line end and has `target` bytes at least, but for the last, which is what is left."""
+    held: list[bytes] = []
+    size = 0
+    for piece in pieces:
+        cut = piece.rfind(b"\n") + 1
+        if cut and size + cut >= target:
+            yield b"".join([*held, piece[:cut]])
+            held, size = [], 0
+            piece = piece[cut:]
+        if piece:
+            held.append(piece)
+            size += len(piece)
+    if held:
+        yield b"".join(held)
+
+
 def plain_size(gz_tail: bytes) -> int:
     """Bytes that a gzip file holds unpacked (below 4 GiB), from its last four."""
     return struct.unpack("<I", gz_tail[-4:])[0]
@@ -65,19 +90,29 @@ def read_records(spark: SparkSession, sources: list[TraceSource]) -> DataFrame:
     return parsed.join(known, "file").select("trace_id", "filename", "cid", place, "raw", "r.*")
 
 
-def check_records(records: DataFrame, sources: list[TraceSource]) -> None:
-    """Raises for the first record that is no JSON, and for traces without records or without their one header."""
+def check_json(records: DataFrame) -> None:
+    """Raises for a record that is no JSON."""
     bad = records.where(F.col("_bad").isNotNull() & F.try_parse_json("raw").isNull()).select("filename", F.left("raw", F.lit(120)).alias("text")).limit(1).collect()
     if bad:
         raise CaptureError("load", f'Malformed JSON in file "{bad[0].filename}": {bad[0].text}', trace=bad[0].filename)
+
+
+def check_headers(name: str, headers: int) -> None:
+    """Raises for a trace without its one header."""
+    if not headers:
+        raise CaptureError("load", f'no trace row for "{name}": feed the chunk holding the mlog header first', trace=name)
+    if headers > 1:
+        raise CaptureError("load", f'more than one header in "{name}"', trace=name)
+
+
+def check_records(records: DataFrame, sources: list[TraceSource]) -> None:
+    """Raises for a record that is no JSON, and for traces without records or without their one header."""
+    check_json(records)
     count = {r.filename: r for r in records.groupBy("filename").agg(F.count("*").alias("n"), F.count("qlog_version").alias("headers")).collect()}  # a row a trace
     for s in sources:
         if s.name not in count:
             raise CaptureError("load", "no records in the stream", trace=s.name)
-        if not count[s.name].headers:
-            raise CaptureError("load", f'no trace row for "{s.name}": feed the chunk holding the mlog header first', trace=s.name)
-        if count[s.name].headers > 1:
-            raise CaptureError("load", f'more than one header in "{s.name}"', trace=s.name)
+        check_headers(s.name, count[s.name].headers)
 
 
 def events_of(records: DataFrame) -> DataFrame:

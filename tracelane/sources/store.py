@@ -18,6 +18,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tracelane/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 class Store:
     """Writes frames under one folder of their own and reads them back: a lost executor costs no more than the running stage. remove() deletes them."""
 

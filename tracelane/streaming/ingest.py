@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.plans import schema as S
-from tracelane.sources.load import census, control_rows, merge_census, object_rows, other_rows, stream_rows, trace_rows, tracks
-from tracelane.sources.mlog import DATA, RECORD
+from tracelane.sources.errors import CaptureError
+from tracelane.sources.load import census, control_rows, guard, merge_census, object_rows, other_rows, stream_rows, trace_rows, tracks
+from tracelane.sources.mlog import DATA, RECORD, check_headers, check_json
+from tracelane.sources.store import Store, exists
 
 #: Tables that a chunk only adds rows to.
 GROWING = {"trace": S.TRACE, "control_message": S.CONTROL, "subgroup_stream": S.STREAM, "subgroup_object": S.OBJECT, "event_other": S.OTHER, "shape": S.SHAPE}
@@ -26,7 +28,8 @@ class ChunkedLoad:
 
     A chunk holds whole records; the header comes in a trace's first chunk. Each micro-batch appends under its own number, so one that
     runs again replaces what it wrote. Tracks and the shape census span chunks: tracks are derived from all messages at reading, and
-    the census of the batches is merged then.
+    the census of the batches is merged then. A batch is checked against itself and what is stored before it is written: one header a trace and before all else, whole records,
+    stream ids that tell streams apart. Traces without such ids can only be loaded whole.
     """
 
     def __init__(self, spark: SparkSession, chunks: str, store: str, traces: dict[str, tuple[int, str]]):
@@ -35,13 +38,39 @@ class ChunkedLoad:
     def _batch(self, lines: DataFrame, number: int) -> None:
         named = self.spark.createDataFrame([(n, i, c) for n, (i, c) in self.traces.items()], "filename string, trace_id int, cid string")
         lines = lines.join(named, "filename").withColumn("place", F.struct(F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("line"), F.lit(0).alias("part")))
-        records = parse_lines(lines).persist()
+        store = Store(self.spark)
+        records = store.keep(parse_lines(lines), "records")
         ms = F.col("time").cast("double")
         ev = records.where("name IS NOT NULL").select("trace_id", "place", "name", F.rint(ms * 1000).cast("long").alias("time_us"), "data").withColumn("d", F.from_json("data", DATA))
         made = {"trace": trace_rows(records), "control_message": control_rows(ev), "subgroup_stream": stream_rows(ev), "subgroup_object": object_rows(ev), "event_other": other_rows(ev), "shape": census(ev)}
+        try:
+            self._check(records, made["subgroup_stream"], number)
+        except CaptureError:
+            store.remove()
+            raise
         for name, frame in made.items():
             frame.write.mode("overwrite").parquet(f"{self.store}/{name}/batch={number}")
-        records.unpersist()
+        store.remove()
+
+    def _stored(self, name: str, number: int) -> DataFrame:
+        """What batches other than this one have stored."""
+        if not exists(self.spark, f"{self.store}/{name}"):
+            return self.spark.createDataFrame([], GROWING[name])
+        return self.spark.read.schema(f"{GROWING[name]}, batch int").parquet(f"{self.store}/{name}").where(F.col("batch") != number).drop("batch")
+
+    def _check(self, records: DataFrame, streams: DataFrame, number: int) -> None:
+        check_json(records)
+        here = records.groupBy("trace_id").agg(F.count("qlog_version").alias("headers"))
+        before = self._stored("trace", number).groupBy("trace_id").agg(F.count("*").alias("stored"))
+        name = {i: n for n, (i, _) in self.traces.items()}
+        for r in here.join(before, "trace_id", "left").na.fill(0).collect():  # a row a trace of the batch
+            check_headers(name[r.trace_id], r.headers + r.stored)
+        ends = ["trace_id", "stream_id", "direction"]
+        known = self._stored("subgroup_stream", number).join(here.select("trace_id"), "trace_id", "left_semi").select(*ends).unionByName(streams.select(*ends))
+        guard(known, name)
+        twice = known.groupBy("trace_id", "stream_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+        if twice:
+            raise CaptureError("load", f"duplicate key in subgroup_stream: {twice[0].asDict()}", trace=name[twice[0].trace_id])
 
     def run(self, files_per_batch: int = 1) -> None:
         """Takes in the files that are there and not yet taken in, then stops."""
