@@ -1,17 +1,19 @@
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tracelane.llm import packing, records
+from tracelane.llm import packing, records, tokens
 from tracelane.llm.token_counts import MARK, UnigramTrie, token_counts
 from tracelane.llm.tokens import encoder
 
@@ -36,6 +38,28 @@ def test_pieces_equal_whole_texts(texts, joint):
         assert [ids.tolist() for ids in encoder(path, drops).encode(pa.array(texts))] == [WHOLE[path](t) for t in texts]
 
 
+@pytest.mark.parametrize("chars", [3_000_000, 500, 1])
+def test_slices_of_batches(monkeypatch, chars):
+    """Texts of a batch that is encoded in several slices, and of a batch that is a slice itself."""
+    monkeypatch.setattr(tokens, "SLICE_CHARS", chars)
+    words = ["Word", "the", "Über", "été,", "end.", "x.y", "a,b", "...", "stop.,", "İx", "straße.", "no", "cœur,", "A.", ",", ".", "o.\n", "ﬁn."]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), rng.integers(0, 30))) for _ in range(120)] + ["a.", ". b", "c, ", "é. x", ""]
+    for path, drops in ((BYTE, False), (WORD, True)):
+        want = [WHOLE[path](t) for t in texts]
+        held = pa.array(texts)
+        assert [ids.tolist() for ids in tokens.PieceEncoder(path, drops).encode(held)] == want
+        assert [ids.tolist() for ids in tokens.PieceEncoder(path, drops).encode(held.slice(17, 90))] == want[17:107]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_encoding_of_real_batches(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 100_000)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    for path, drops in ((BYTE, False), (WORD, True)):
+        assert [ids.tolist() for ids in tokens.PieceEncoder(path, drops).encode(texts)] == [WHOLE[path](t) for t in texts.to_pylist()]
+
+
 def test_records_round_trip(spark, odd):
     got = records.token_records(odd, BYTE).collect()
     assert len(got) == len(ODD)

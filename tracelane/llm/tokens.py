@@ -3,8 +3,9 @@
 Both vocabularies here split a text before a space that a non-space follows, whatever stands around
 it, so the ids of a text are the ids of its space-separated pieces in a row. Natural text repeats its
 pieces, and a worker looks most of them up. A text in which a space precedes white space or its end is
-encoded whole where white space gives ids. A piece that is one word and perhaps a comma or full stop goes to the
-vocabulary's model at once, as the two pre-tokens it is.
+encoded whole where white space gives ids. A comma or full stop after a letter and before white space is a piece of its own where white space gives
+no ids. New words of Latin letters are encoded in one text; where their ids part is seen from the ids that can end (or start) a word alone. What else there is
+goes to the vocabulary's model, or is encoded piece by piece.
 """
 
 from __future__ import annotations
@@ -27,6 +28,30 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_TABLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+#: Words that are one pre-token for either vocabulary.
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """Large strings with ASCII letters in lower case, line ends as spaces, and a space between an ASCII letter and a comma or full stop that a space follows. On the bytes: Arrow's own ascii_lower returns wrong bytes for an array that doesn't start
+    at the first byte of its buffer, as slices don't."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[at[0] : at[-1]].copy() if held and len(texts) else np.zeros(0, np.uint8)
+    data[(data >= 65) & (data <= 90)] |= 32
+    data[data == 10] = 32
+    at = at - at[0]
+    if len(data) > 2:
+        letter = (data >= 97) & (data <= 122)
+        stop = np.flatnonzero(((data[1:-1] == 44) | (data[1:-1] == 46)) & letter[:-2] & (data[2:] == 32)) + 1
+        inside = np.searchsorted(at, stop, side="right") - 1
+        # The letter and the space are of the same text.
+        stop = stop[(at[inside] < stop) & (stop + 1 < at[inside + 1])]
+        data = np.insert(data, stop, 32)
+        at = at + np.searchsorted(stop, at)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
 class PieceEncoder:
     """drops_space: the vocabulary gives no ids for white space."""
 
@@ -39,6 +64,11 @@ class PieceEncoder:
         self.model = self.tok.model
         self.drops_space = drops_space
         self.odd = re.compile(r" \s| $")
+        self.latin = f"^{'' if drops_space else ' '}{_LATIN}$"
+        vocabulary = self.tok.get_vocab()
+        edge = (lambda piece: piece.endswith(self.model.end_of_word_suffix)) if drops_space else (lambda piece: piece.startswith(BYTE_TABLE[32]))
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for piece, i in vocabulary.items() if edge(piece)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -67,24 +97,45 @@ class PieceEncoder:
         ids = [t.id for t in self.model.tokenize(mapped if len(word) == len(bare) else BYTE_TABLE[32] + mapped)]
         return ids + self.stops[stop] if stop else ids
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words that match self.latin, in a row, and how many each has; None if the ids don't part into as many words."""
+        text = (" " if self.drops_space else "").join(words)
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        edges = np.flatnonzero(self.edge[ids])
+        # Each word has one edge at least, so as many edges as words mean one each.
+        if len(edges) != len(words):
+            return None
+        return ids, np.diff(np.concatenate([[-1], edges])) if self.drops_space else np.diff(np.append(edges, len(ids)))
+
     def _add(self, strings: list[str]) -> np.ndarray:
         """Encodes the strings; their entry numbers."""
-        out = list(map(self._word, strings))
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tok.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
+        at = np.arange(self.n, self.n + len(strings))
+        latin = pc.match_substring_regex(pa.array(strings, pa.large_string()), self.latin).to_numpy(zero_copy_only=False).astype(bool)
+        some = np.flatnonzero(latin)
+        found = self._words([strings[i] for i in some.tolist()]) if len(some) else None
+        if found:
+            self._keep(at[some], *found)
+        else:
+            latin[:] = False
+        rest = np.flatnonzero(~latin).tolist()
+        out = [self._word(strings[i]) for i in rest]
+        hard = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(hard, self.tok.encode_batch_fast([strings[rest[k]] for k in hard], add_special_tokens=False)):
+            out[k] = e.ids
         lens = np.fromiter(map(len, out), np.int64, len(out))
-        total = int(lens.sum())
-        while self.used + total > len(self.ids):
+        self._keep(at[rest], np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum())), lens)
+        return at
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        """Holds the ids of entries at."""
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(out) > len(self.start):
+        while len(at) and at[-1] >= len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(out), np.uint32, total)
-        at = np.arange(self.n, self.n + len(out))
+        self.ids[self.used : self.used + len(ids)] = ids
         self.start[at] = self.used + np.cumsum(lens) - lens
         self.length[at] = lens
-        self.used, self.n = self.used + total, self.n + len(out)
-        return at
+        self.used, self.n = self.used + len(ids), self.n + len(at)
 
     def _entries(self, strings: list[str]) -> np.ndarray:
         get = self.known.get
@@ -101,7 +152,7 @@ class PieceEncoder:
         if len(self.known) > MAX_PIECES:
             self._reset()
         if self.drops_space:  # such a vocabulary lowers letters, and any white space parts its words
-            texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+            texts = lowered(texts)
         plain = texts.to_pylist()
         odd = np.array([not self.drops_space and self.odd.search(t) is not None for t in plain])
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
