@@ -60,6 +60,17 @@ def test_encoding_of_real_batches(monkeypatch):
         assert [ids.tolist() for ids in tokens.PieceEncoder(path, drops).encode(texts)] == [WHOLE[path](t) for t in texts.to_pylist()]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Documents next to each other in the order of packing share far more words than any two do."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(docs, WORD).where("start = 0").select("doc_id", "sequence_id", "offset").orderBy("sequence_id", "offset").collect()
+    words = {r.doc_id: set((r.text or "").lower().split()) for r in docs.collect()}
+    order = [words[r.doc_id] for r in rows]
+    alike = lambda step: np.mean([len(a & b) / max(len(a | b), 1) for a, b in zip(order, order[step:])])
+    assert alike(1) > 1.5 * np.mean([alike(k) for k in (37, 53, 71, 89)])
+
+
 def test_records_round_trip(spark, odd):
     got = records.token_records(odd, BYTE).collect()
     assert len(got) == len(ODD)

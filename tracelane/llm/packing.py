@@ -47,14 +47,17 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _projection(dims: int, seed: int) -> np.ndarray:
-    """Of each hash of a token id, the random vector that the id adds to its document's: an array for each dimension."""
-    return np.random.default_rng(seed).standard_normal((dims, 1 << 16)).astype(np.float32)
+    """Of each of the lower 16 bits of a token id, the vector that the id adds to its document's: the random vector of its hash, longer for later ids, which vocabularies by merges
+    give to rarer tokens; else the commonest would decide the direction."""
+    ids = np.arange(1 << 16, dtype=np.uint32)
+    hashed = (ids * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return np.random.default_rng(seed).standard_normal((dims, 1 << 16)).astype(np.float32)[:, hashed] * np.log2(2 + ids).astype(np.float32) ** 2
 
 
 def project(ids: np.ndarray, dims: int = DIMS, seed: int = 7) -> list[float]:
-    """The direction of a document's hashed token counts in few dimensions."""
-    hashed = (ids & 0xFFFF).astype(np.int64)
-    at = [float(axis.take(hashed).sum(dtype=np.float64)) for axis in _projection(dims, seed)]
+    """The direction of a document's hashed, weighted token counts in few dimensions."""
+    low = (ids & 0xFFFF).astype(np.int64)
+    at = [float(axis.take(low).sum(dtype=np.float64)) for axis in _projection(dims, seed)]
     length = math.sqrt(sum(x * x for x in at))
     return [x / length if length else 0.0 for x in at]
 
