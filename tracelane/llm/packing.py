@@ -51,7 +51,8 @@ def _projection(dims: int, seed: int) -> np.ndarray:
     give to rarer tokens; else the commonest would decide the direction."""
     ids = np.arange(1 << 16, dtype=np.uint32)
     hashed = (ids * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    return np.random.default_rng(seed).standard_normal((dims, 1 << 16)).astype(np.float32)[:, hashed] * np.log2(2 + ids).astype(np.float32) ** 2
+    axes = np.random.default_rng(seed).standard_normal((dims, 1 << 16)).astype(np.float32)[:, hashed]
+    return np.ascontiguousarray(axes * np.log2(2 + ids).astype(np.float32) ** 2)
 
 
 def project(ids: np.ndarray, dims: int = DIMS, seed: int = 7) -> list[float]:

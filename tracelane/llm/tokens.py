@@ -4,8 +4,8 @@ Both vocabularies here split a text before a space that a non-space follows, wha
 it, so the ids of a text are the ids of its space-separated pieces in a row. Natural text repeats its
 pieces, and a worker looks most of them up. A text in which a space precedes white space or its end is
 encoded whole where white space gives ids. A comma or full stop after a letter and before white space is a piece of its own where white space gives
-no ids. New words of Latin letters are encoded in one text; where their ids part is seen from the ids that can end (or start) a word alone. What else there is
-goes to the vocabulary's model, or is encoded piece by piece.
+no ids. New words of Latin letters are one pre-token each and go to the vocabulary's model together, parted by spaces; where their ids part is seen from the ids that
+only end (or start) a word. What else there is goes to the model alone, or is encoded piece by piece.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_TABLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-#: Words that are one pre-token for either vocabulary.
-_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+#: Letters of words that are one pre-token for either vocabulary, in lower case too.
+_ASCII, _LATIN = "A-Za-z", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 
 
 def lowered(texts: pa.Array) -> pa.Array:
@@ -57,14 +57,16 @@ class PieceEncoder:
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.drops_space = drops_space
         self.odd = re.compile(r" \s| $")
-        self.latin = f"^{'' if drops_space else ' '}{_LATIN}$"
+        self.bare = Tokenizer(self.model)  # takes words as the model does: written in BYTE_TABLE
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.table = {b: c for b, c in BYTE_TABLE.items() if b != 32}
         vocabulary = self.tok.get_vocab()
         edge = (lambda piece: piece.endswith(self.model.end_of_word_suffix)) if drops_space else (lambda piece: piece.startswith(BYTE_TABLE[32]))
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -97,26 +99,30 @@ class PieceEncoder:
         ids = [t.id for t in self.model.tokenize(mapped if len(word) == len(bare) else BYTE_TABLE[32] + mapped)]
         return ids + self.stops[stop] if stop else ids
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of words that match self.latin, in a row, and how many each has; None if the ids don't part into as many words."""
-        text = (" " if self.drops_space else "").join(words)
-        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _words(self, words: list[str], ascii_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters, in a row, and how many each has."""
+        text = " ".join(words) if self.drops_space else "".join(words)
+        if self.drops_space:
+            text = text.lower()
+        if not ascii_only:
+            text = text.encode().decode("latin-1").translate(self.table)
+        if not self.drops_space:
+            text = text.replace(" ", " " + BYTE_TABLE[32])
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         edges = np.flatnonzero(self.edge[ids])
-        # Each word has one edge at least, so as many edges as words mean one each.
-        if len(edges) != len(words):
-            return None
         return ids, np.diff(np.concatenate([[-1], edges])) if self.drops_space else np.diff(np.append(edges, len(ids)))
 
     def _add(self, strings: list[str]) -> np.ndarray:
         """Encodes the strings; their entry numbers."""
         at = np.arange(self.n, self.n + len(strings))
-        latin = pc.match_substring_regex(pa.array(strings, pa.large_string()), self.latin).to_numpy(zero_copy_only=False).astype(bool)
-        some = np.flatnonzero(latin)
-        found = self._words([strings[i] for i in some.tolist()]) if len(some) else None
-        if found:
-            self._keep(at[some], *found)
-        else:
-            latin[:] = False
+        held = pa.array(strings, pa.large_string())
+        latin = np.zeros(len(strings), bool)
+        for letters in (_ASCII, _LATIN):
+            like = pc.match_substring_regex(held, f"^{'' if self.drops_space else ' '}[{letters}]+$").to_numpy(zero_copy_only=False).astype(bool) & ~latin
+            some = np.flatnonzero(like)
+            if len(some):
+                self._keep(at[some], *self._words([strings[i] for i in some.tolist()], letters == _ASCII))
+            latin |= like
         rest = np.flatnonzero(~latin).tolist()
         out = [self._word(strings[i]) for i in rest]
         hard = [k for k, x in enumerate(out) if x is None]
@@ -138,8 +144,7 @@ class PieceEncoder:
         self.used, self.n = self.used + len(ids), self.n + len(at)
 
     def _entries(self, strings: list[str]) -> np.ndarray:
-        get = self.known.get
-        out = np.fromiter((get(s, -1) for s in strings), np.int64, len(strings))
+        out = np.fromiter(map(self.known.get, strings, repeat(-1)), np.int64, len(strings))
         missing = np.flatnonzero(out < 0)
         if len(missing):
             new = list(dict.fromkeys(strings[i] for i in missing))
@@ -153,9 +158,13 @@ class PieceEncoder:
             self._reset()
         if self.drops_space:  # such a vocabulary lowers letters, and any white space parts its words
             texts = lowered(texts)
-        plain = texts.to_pylist()
-        odd = np.array([not self.drops_space and self.odd.search(t) is not None for t in plain])
-        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+            whole = np.zeros(0, np.int64)
+        else:
+            plain = texts.to_pylist()
+            odd = [self.odd.search(t) is not None for t in plain]
+            whole = np.flatnonzero(odd)
+            texts = pc.if_else(pa.array(odd, pa.bool_()), "", texts)
+        split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         values = coded.dictionary.to_pylist()
@@ -166,7 +175,6 @@ class PieceEncoder:
             first = at[:-1]
             entry = self._entries([" " + v for v in values])[codes]
             entry[first] = self._entries([values[c] for c in codes[first]])
-        whole = np.flatnonzero(odd)
         if len(whole):
             entry[at[whole]] = self._add([plain[i] for i in whole])
         lens = self.length[entry]
