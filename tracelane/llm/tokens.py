@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: Distinct pieces a worker holds before it starts over; bounds memory, not results.
 MAX_PIECES = 500_000
 #: Characters encoded at a time.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 8_000_000
 #: Characters by byte, as byte-level vocabularies write them: printable ones stand for themselves, the others for those from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_TABLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
