@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from conftest import ODD
 from test_duplicates import classes_of
 from test_others import labelled, spans_of, targets_of
 from test_tokens import check_packing
@@ -50,3 +51,20 @@ def test_pipeline(spark, make, tmp_path):
     assert all(abs(words[s] - t) <= longest for s, t in targets_of(sizes).items())
     check_packing(corpus_pipeline.packing(spark, at, str(tmp_path)).collect(), [(r[0], r[1]) for r in mixed])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0 and rng
+
+
+def test_stages_take_odd_rows(spark, odd, make, tmp_path):
+    """Nulls, empty and very long texts, equal rows, one id twice, a null id, clashing columns; and the empty table."""
+    _, labels = labelled(60)
+    spark.createDataFrame([(1000 + i, q, t) for i, q, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = {"quality": len(ODD), "near copies": 8, "secrets": len(ODD)}  # no labelled row is here, so that none is rejected
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.schema.simpleString() == odd.schema.simpleString()
+        got = rows(out)
+        assert set(got) <= set(rows(odd)) and len(got) == want.get(name, len(got)), name
+        assert step(spark, odd.limit(0), str(tmp_path)).count() == 0
+    pieces = corpus_pipeline.packing(spark, odd, str(tmp_path)).collect()
+    assert sum(r.start == 0 for r in pieces) == len(ODD) and all(r.doc_tokens == 1 for r in pieces if r.doc_id in (1, 2))
+    assert corpus_pipeline.packing(spark, odd.limit(0), str(tmp_path)).count() == 0

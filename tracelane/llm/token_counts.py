@@ -78,7 +78,9 @@ def _trie(model_path: str) -> UnigramTrie:
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: its id, n_pretokens and n_tokens (long).
+    """The pieces are those of a public vocabulary; it has ranks but no unigram scores, so costs follow from the ranks, as in UnigramTrie.
+
+    Per row of docs: its id, n_pretokens and n_tokens (long).
 
     A pre-token is a run without white space, led by the word mark. A null or empty text and one of
     white space alone have no tokens. Repeated rows and ids each get their own row; an empty table gives
