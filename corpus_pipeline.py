@@ -23,7 +23,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str, tuple[str, ...]]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the neighbour vote rejects."""
+    """Drops the documents that the neighbour vote rejects. Null and empty texts are judged as empty ones; each row by itself, so equal rows go or stay together; without labels of
+    both kinds all stay. An empty table stays empty; other columns pass through, whatever their names."""
     work, ident, body, rest = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", ident)
     judged = classify(work, labels, id_col=ident, text=body, carry=rest)
@@ -31,12 +32,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of the similarity join."""
+    """Keeps one document of each class of the similarity join: the one of the least id, null last; of equal rows one. Null, empty and blank texts are one class. Columns pass through."""
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mask in the place of every secret; n_chars follows the text."""
+    """Puts a mask in the place of every secret; n_chars follows the text. Rows without secrets stay as they are, null texts null; equal rows stay equal; every row is kept."""
     work, ident, body, rest = _numbered(docs)
     found = scan(work.withColumn("scanned", F.col(body)), id_col=ident, text="scanned", carry=rest)
     clean = found.withColumn(body, F.when(F.size("spans") > 0, redact(F.col("scanned"), F.col("spans"))).otherwise(F.col(body)))
@@ -47,12 +48,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents, some of them more than once, so that the sources meet their weights."""
+    """Takes documents, some of them more than once, so that the sources meet their weights. Null sources are one source; texts without words weigh nothing and come as often as their
+    hash says; rows of one id are taken together. Columns pass through."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences along the curve."""
+    """Packs the documents into sequences along the curve: a row for each piece. Null and empty texts are their end id alone; equal rows are packed each."""
     return pack(docs, _tokenizer(WORD_BPE)).drop("ids")
 
 
