@@ -79,7 +79,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         enc, at, n_tokens, index = encoder(tokenizer, False), 0, 0, []
         with system.open_output_stream(f"{own}.rec") as out:
             for batch in batches:
-                for doc_id, ids in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text"))):
+                for doc_id, ids in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text"), 8_000_000)):
                     record = frame(pack_ids(doc_id, np.append(ids, np.uint32(end_id))))
                     out.write(record)
                     index.append((at, len(record) - 16, len(ids) + 1))
