@@ -251,16 +251,24 @@ def _written(spark: SparkSession, t: Tables, bare: bool = False) -> list[TraceSo
     return sources
 
 
+def table_counts(t: Tables, store: Store) -> DataFrame:
+    """The rows of each table and trace, and the sums of their times and sizes. Sums are exact: they are longs, as in the SQL, or decimals if one is beyond a long."""
+    one = lambda name, f, *sums: f.groupBy("trace_id").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(s.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(a) for s, a in sums]).withColumn("part", F.lit(name))
+    c, nothing = F.col, F.lit(0)
+    rows = one("subgroup_object", t.subgroup_object, (c("time_us"), "times"), (c("payload_length"), "sizes"))
+    rows = rows.unionByName(one("subgroup_stream", t.subgroup_stream, (c("time_us"), "times"), (c("group_id"), "sizes")))
+    rows = rows.unionByName(one("control_message", t.control_message, (c("time_us"), "times"), (c("subscribe_id"), "sizes")))
+    rows = rows.unionByName(one("track", t.track, (nothing, "times"), (c("track_alias"), "sizes")))
+    rows = rows.unionByName(one("trace", t.trace, (c("reference_us"), "times"), (nothing, "sizes"))).select("part", "trace_id", "n", "times", "sizes")
+    rows = store.keep(rows, "counts")  # a few rows a trace
+    beyond = rows.where(F.greatest(F.abs("times"), F.abs("sizes")) > (1 << 63) - 1).limit(1).count()
+    return rows if beyond else rows.withColumns({a: c(a).cast("long") for a in ("times", "sizes")})
+
+
 def mlog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the capture as logs, loads them, and counts the rows of each table and their times and sizes."""
-    t = load_tables(spark, _written(spark, demo_tables(spark, sf_dir)))
-    one = lambda name, f, *sums: f.groupBy("trace_id").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(s), F.lit(0)).alias(a) for s, a in sums]).withColumn("part", F.lit(name))
-    nothing = F.lit(0).cast("long")
-    rows = one("subgroup_object", t.subgroup_object, ("time_us", "times"), ("payload_length", "sizes"))
-    rows = rows.unionByName(one("subgroup_stream", t.subgroup_stream, ("time_us", "times"), ("group_id", "sizes")))
-    rows = rows.unionByName(one("control_message", t.control_message, ("time_us", "times"), ("subscribe_id", "sizes")))
-    rows = rows.unionByName(one("track", t.track, (nothing, "times"), ("track_alias", "sizes")))
-    return rows.unionByName(one("trace", t.trace, ("reference_us", "times"), (nothing, "sizes"))).select("part", "trace_id", "n", "times", "sizes")
+    store = Store(spark)
+    return table_counts(load_tables(spark, _written(spark, demo_tables(spark, sf_dir)), store=store), store)
 
 
 def streaming_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
