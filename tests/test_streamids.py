@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from itertools import product
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from logs import header, obj, stream, subscribe, subscribe_ok, write
 
 import __spark_entry__ as entry
-from tracelane.operators.streamids import cut_chains, fit_clusters
+from tracelane.operators.streamids import cut_by_search, cut_chains, cut_from_zero, fit_clusters
 from tracelane.plans.capture import open_capture
 from tracelane.plans.demo import demo_tables
 
@@ -67,6 +68,48 @@ def test_chains_equal_brute_force():
         assert abs(cost - least_cost(ids, sizes, 3, clusters)) < 1e-9
 
 
+def test_chains_from_zero_equal_search():
+    """All orders at once give what the search gives, choices, doubts and ties included; so do cuts that don't exist."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        k = int(rng.integers(1, 6))
+        chains = int(rng.integers(1, k + 1))
+        clusters = [(float(c), 0.5) for c in rng.integers(3, 7, k)]
+        truth = rng.permutation([*range(chains), *rng.integers(0, chains, 14)]).tolist()
+        ids = [truth[:i].count(c) for i, c in enumerate(truth)]
+        if rng.random() < 0.3:
+            del ids[int(rng.integers(1, len(ids)))]
+        sizes = [float(x) for x in rng.integers(3, 7, len(ids))]
+        want = cut_by_search(ids, sizes, chains, clusters)
+        assert cut_chains(ids, sizes, chains, clusters) == want
+        if ids.count(0) == chains:
+            assert cut_from_zero(ids, sizes, clusters) == want
+
+
+def test_long_subgroup_is_cut():
+    """Five chains of 5,000 objects whose sizes tell little: the search took over ten seconds for them."""
+    rng = np.random.default_rng(8)
+    truth = rng.permutation(np.repeat(np.arange(5), 5000)).tolist()
+    seen = [0] * 5
+    ids = [(seen[c], seen.__setitem__(c, seen[c] + 1))[0] for c in truth]
+    began = time.process_time()
+    picks, _, labels = cut_chains(ids, rng.normal(5, 1, len(ids)).tolist(), 5, [(4.0 + c / 2, 0.5) for c in range(5)])
+    assert time.process_time() - began < 3
+    assert len(labels) == 5 and all([i for i, p in zip(ids, picks) if p == c] == list(range(5000)) for c in range(5))
+
+
+def test_tracks_one_after_another():
+    """Five whole chains in turn, as a late subscriber gets them: chains that start late crowd the search's states until no cut is left."""
+    rng = np.random.default_rng(3)
+    lengths = (41, 36, 45, 38, 40)
+    ids = [i for n in lengths for i in range(n)]
+    sizes = np.log(rng.exponential(5000, len(ids)) + 1).tolist()
+    picks, _, labels = cut_chains(ids, sizes, 5, fit_clusters(np.log(rng.exponential(5000, 20_000) + 1), 5))
+    assert sorted(labels) == list(range(5))
+    assert all([i for i, p in zip(ids, picks) if p == c] == list(range(picks.count(c))) for c in range(5))
+    assert sorted(map(picks.count, range(5))) == sorted(lengths)
+
+
 def test_planted_capture(spark, tmp_path):
     """Three tracks of far sizes over two groups and two traces: each stream is found whole; a subgroup that lost an object is left out, the other is not."""
     def log(name, vantage, direction, lost):

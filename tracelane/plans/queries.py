@@ -245,7 +245,7 @@ def _written(spark: SparkSession, t: Tables, bare: bool = False) -> list[TraceSo
     lines = Store(spark).keep(lines, "lines")
     for r in t.trace.select("filename", "cid").orderBy("trace_id").collect():
         at = f"{folder}/{r.filename}"
-        lines.where(F.col("filename") == r.filename).coalesce(1).sortWithinPartitions("time_us").select("line").write.text(at)
+        lines.where(F.col("filename") == r.filename).coalesce(1).sortWithinPartitions("time_us", "line").select("line").write.text(at)
         path = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(at).select("path").first().path
         sources.append(TraceSource(r.filename, r.cid, path))
     return sources
