@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from conftest import ODD
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracelane.llm import repeats, similarity_join, spotsigs
+from tracelane.llm import shingles as sh
 from tracelane.llm.components import components
 
 
@@ -78,6 +80,27 @@ def test_join_odd_rows(spark, odd, make):
     assert similarity_join.jaccard_join(make([])).count() == 0
 
 
+@pytest.mark.parametrize("beyond", [b"\xff\xff\xff\xff", b"  \n\t", b"\0\0\0\0", b"abcd"])
+def test_words_whatever_lies_beyond_the_last_text(beyond):
+    for bodies in (["a b", "c \n\t "], ["a\n", "b "], ["a ", "", ""], [" \n\t "], ["\u3000\u3000"]):
+        raw = [b.encode() for b in bodies]
+        at = np.cumsum([0, *map(len, raw)], dtype=np.int64)
+        texts = pa.LargeStringArray.from_buffers(len(bodies), pa.py_buffer(at), pa.py_buffer(b"".join(raw) + beyond))
+        assert [[w for w in words if w] for words in sh.split_words(texts).to_pylist()] == [b.split() for b in bodies]
+
+
+def test_sets_do_not_depend_on_the_batch():
+    rng = random.Random(1)
+    bodies = [r[1] or "" for r in ODD] + ["Ends in a mark.", "wörter am ende \u3000"]
+    alone = {b: {tuple(b.lower().split()[i : i + 5]) for i in range(max(1, len(b.split()) - 4))} - {()} for b in bodies}
+    keys, marked = {}, {b: spotsigs.signatures([b, "x"])[0].tolist() for b in bodies}
+    for _ in range(200):
+        some = rng.sample(bodies, rng.randrange(1, len(bodies) + 1))
+        for b, s in zip(some, sh.shingle_sets(pa.array(some), 5)):
+            assert len(s) == len(alone[b]) and keys.setdefault(b, sh.set_key(s)) == sh.set_key(s)
+        assert [s.tolist() for s in spotsigs.signatures(some)] == [marked[b] for b in some]
+
+
 def test_posterior():
     least = similarity_join.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and 0 < least[0] < 16 and least[-1] < 0.8 * 128

@@ -6,10 +6,10 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tracelane.llm.common import texts
+from tracelane.llm.shingles import split_words
 
 #: Trie nodes a worker holds before it starts over; bounds memory, not results.
 MAX_NODES = 600_000
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                split = pc.utf8_split_whitespace(part.column("text").cast(pa.large_string()))
+                split = split_words(part.column("text"))
                 coded = split.flatten().dictionary_encode()
                 words = coded.dictionary.to_pylist()
                 of = np.array([0, *trie.counts([MARK + w for w in words])])
